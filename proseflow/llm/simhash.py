@@ -83,14 +83,12 @@ def forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             near = np.bitwise_count(fps[i : i + TILE, None] ^ fps[None, j : j + TILE]) <= bits
             for x in np.flatnonzero(near.any(axis=1)):
                 ys = np.flatnonzero(near[x]) + j
-                for lab in np.unique(label[ys]):
-                    own = label[i + x]
+                for y in ys[np.unique(label[ys], return_index=True)[1]]:
+                    own, lab = label[i + x], label[y]
                     if lab != own:
-                        y = ys[label[ys] == lab][0]
                         a.append(i + x)
                         b.append(y)
-                        lo, hi = min(own, lab), max(own, lab)
-                        label[label == hi] = lo
+                        label[label == max(own, lab)] = min(own, lab)
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
@@ -140,7 +138,9 @@ def _bucket_links(bits: int):
 def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     """``a, b``: verified links that span every component of the distinct fingerprints in column ``fp``."""
     assert 0 <= bits <= 3, "two halves with one wildcard each find at most three differing bits"
-    keys = fps.select(F.explode(variants(F.col("fp"))).alias("key"), "fp")
+    # The number is given, or AQE would put the few bytes of the fingerprints, and so all their keys, into one task.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = spread.select(F.explode(variants(F.col("fp"))).alias("key"), "fp")
     dealt = keys.repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_bucket_links(bits), "a long, b long")
 
@@ -169,7 +169,7 @@ def deduplicated(docs: DataFrame, bits: int = 3, id_col: str = "doc_id", text_co
     Repeated rows come back once.
     """
     found = near_duplicates(docs, bits, id_col, text_col)
-    best = found.groupBy(F.col("component_id")).agg(F.min(F.struct("doc_id", "th")).alias("best"))
+    best = found.groupBy(F.col("component_id")).agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "th")).alias("best"))
     kept = best.select(F.xxhash64("best.doc_id", "best.th").alias("__row"))
     marked = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)))
     return marked.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
