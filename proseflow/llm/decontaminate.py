@@ -116,3 +116,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: st
     """The rows of docs that hold no window of any item, with all their columns."""
     found = hits(docs, items, size, id_col, text_col, **names).select(own_exchange(F.col("key")).alias("__key"))
     return docs.withColumn("__key", F.xxhash64(F.col(id_col), F.xxhash64(text_col))).join(found, "__key", "left_anti").drop("__key")
+
+
+#: The same rows from an equality of joined words at every place, without shingles or rarity.
+ORACLE = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT coalesce(item_id::VARCHAR, '') AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS win FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS k FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, sizes)),
+hit AS (SELECT DISTINCT doc_id, item, k, p.n FROM places p JOIN wins USING (win)),
+pos AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS i FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

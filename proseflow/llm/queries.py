@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, shard, simhash
+from . import chat, decontaminate, mix, shard, simhash
 from .common import table
 
 
+def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix.replicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", F.round("mix_rate", 6).alias("rate"), F.col("mix_copy").cast("long").alias("copy"))
+
+
+def op2_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations")).select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "collapsed", "chat")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -25,9 +34,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_poisson_mixing": op1_poisson_mixing,
+    "op2_chat_snapshot_collapse": op2_chat_snapshot_collapse,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_lpt_sharding": op8_lpt_sharding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_poisson_mixing": mix.oracle(),
+    "op2_chat_snapshot_collapse": chat.ORACLE,
+    "op4_benchmark_decontamination": decontaminate.ORACLE,
+}
