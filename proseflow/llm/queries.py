@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embed, licenses, mix, shard, simhash, tokens, toxicity
+from . import chat, decontaminate, embed, licenses, mix, secrets, shard, simhash, tokens, toxicity
 from .common import table
 
 #: Where the public vocabularies lie.
@@ -33,6 +33,13 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["k"])
+    n = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
+    return found.select("doc_id", *n, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("found")).alias("spans"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -62,6 +69,7 @@ QUERIES = {
     "op2_chat_snapshot_collapse": op2_chat_snapshot_collapse,
     "op3_toxicity_grammar": op3_toxicity_grammar,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_secret_battery": op5_secret_battery,
     "op6_license_scan": op6_license_scan,
     "op7_token_histogram": op7_token_histogram,
     "op8_lpt_sharding": op8_lpt_sharding,
