@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from proseflow.schemas import flat
+
 _SQL = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "double": "DOUBLE"}
 
 
 class Fixture:
-    """Rows and their DDL; dates are given as ISO strings."""
+    """Rows and their columns; dates are given as ISO strings."""
 
     def __init__(self, ddl: str, rows: list[tuple]):
-        self.schema, self.rows = T.StructType.fromDDL(ddl), rows
+        self.schema, self.rows = flat(ddl), rows
 
     def frame(self, spark: SparkSession) -> DataFrame:
         loose = T.StructType([T.StructField(f.name, T.StringType() if f.dataType == T.DateType() else f.dataType) for f in self.schema])
