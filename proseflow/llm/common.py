@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,12 +44,17 @@ def own_exchange(key: Column) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, written to the shared folder of ``spark.checkpoint.dir`` and cut off from its lineage.
 
-    A folder of this process's own is taken only where the session names none, as in tests.
+    Where the session names none, a folder in the warehouse is taken, which a cluster shares; in local mode, as in
+    tests, a temporary folder that goes when the process ends.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints")
     return df.checkpoint(eager=True)
 
 

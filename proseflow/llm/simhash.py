@@ -71,24 +71,37 @@ def variants(fp):
 
 
 def forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links, one fewer than members at most for each component, that span the graph of the fingerprints of a bucket.
+    """Links, fewer than members, that span the graph of the fingerprints of a bucket.
 
-    Tile against tile, so memory stays bounded; a row looks only for rows of other components.
+    Tile against tile, so memory stays bounded. After the first tile has met all others, two members of the largest
+    component found so far need not be compared any more; so a dense bucket, as near copies make it, takes time in
+    proportion to its size and not to its square.
     """
     n = len(fps)
     label = np.arange(n)
     a, b = [], []
-    for i in range(0, n, TILE):
-        for j in range(i, n, TILE):
-            near = np.bitwise_count(fps[i : i + TILE, None] ^ fps[None, j : j + TILE]) <= bits
-            for x in np.flatnonzero(near.any(axis=1)):
-                ys = np.flatnonzero(near[x]) + j
-                for y in ys[np.unique(label[ys], return_index=True)[1]]:
-                    own, lab = label[i + x], label[y]
-                    if lab != own:
-                        a.append(i + x)
-                        b.append(y)
-                        label[label == max(own, lab)] = min(own, lab)
+
+    def meet(xs: np.ndarray, ys: np.ndarray) -> None:
+        for i in range(0, len(xs), TILE):
+            for j in range(0, len(ys), TILE):
+                x, y = xs[i : i + TILE], ys[j : j + TILE]
+                near = np.bitwise_count(fps[x][:, None] ^ fps[y][None, :]) <= bits
+                for r in np.flatnonzero(near.any(axis=1)):
+                    there = y[near[r]]
+                    for other in there[np.unique(label[there], return_index=True)[1]]:
+                        own, lab = label[x[r]], label[other]
+                        if lab != own:
+                            a.append(x[r])
+                            b.append(other)
+                            label[label == max(own, lab)] = min(own, lab)
+
+    every = np.arange(n)
+    meet(every[:TILE], every)
+    for i in range(TILE, n, TILE):
+        most = np.bincount(label).argmax()
+        tile, rest = every[i : i + TILE], every[i:]
+        meet(tile[label[tile] != most], rest)
+        meet(tile[label[tile] == most], rest[label[rest] != most])
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 

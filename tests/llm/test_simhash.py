@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from proseflow.llm import simhash
@@ -78,11 +79,14 @@ def test_links_at_three_bits_everywhere(spark):
     assert {i: x for i, x in enumerate(label)} == want
 
 
-def test_bucket_forest_spans_what_all_pairs_span():
+@pytest.mark.parametrize(("tile", "space", "n", "bits"), [(1024, 12, 1500, 1), (16, 12, 700, 1), (16, 20, 400, 3), (8, 6, 50, 3), (16, 30, 300, 2)])
+def test_bucket_forest_spans_what_all_pairs_span(monkeypatch, tile, space, n, bits):
+    monkeypatch.setattr(simhash, "TILE", tile)
     rnd = np.random.default_rng(5)
-    fps = np.unique(rnd.integers(0, 1 << 12, 1500).astype(np.uint64))
-    i, j = simhash.forest(fps, 1)
-    assert (np.bitwise_count(fps[i] ^ fps[j]) <= 1).all() and len(i) < len(fps)
+    fps = np.unique(rnd.integers(0, 1 << space, n).astype(np.uint64))
+    rnd.shuffle(fps)
+    i, j = simhash.forest(fps, bits)
+    assert (np.bitwise_count(fps[i] ^ fps[j]) <= bits).all() and len(i) < len(fps)
     label = {k: k for k in range(len(fps))}
 
     def root(x):
@@ -92,7 +96,7 @@ def test_bucket_forest_spans_what_all_pairs_span():
 
     for a, b in zip(i, j, strict=True):
         label[max(root(a), root(b))] = min(root(a), root(b))
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 1
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
     assert all(root(a) == root(b) for a, b in zip(*np.nonzero(near), strict=True))
 
 
