@@ -6,14 +6,17 @@ A catalog is a folder with documents.parquet, speeches.parquet and chunks.parque
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from proseflow import schemas
+from proseflow.functions import names
 from proseflow.operators import quality
 from proseflow.plans import catalog, features, ingest
-from proseflow.sources import feeds, tables
+from proseflow.sources import feeds, pages, tables
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
@@ -46,21 +49,30 @@ def run_features(spark, a) -> int:
 
 
 def run_documents(spark, a) -> int:
-    """Discovery from feed files, parsing of fetched pages; steps go from one folder to another, never onto what they read."""
+    """Discovery from feed files, fetching, parsing. Each run reads one folder and writes another."""
     table = _known(spark, a.catalog, "documents")
-    if not a.parse_only:
+    every = not (a.discovery_only or a.fetch_only or a.parse_only)
+    if every or a.discovery_only:
         table = ingest.discover_documents(table, feeds.read(spark, a.feeds), a.base_url, categories=tuple(a.categories))
-    if not a.discovery_only:
+    if every or a.fetch_only:
+        table = ingest.fetch_documents(table, pages.polite(a.get, a.delay), a.limit)
+    if every or a.parse_only:
         table = ingest.parse_documents(table)
     _save(table, a.out, "documents")
     return 0
 
 
 def run_speeches(spark, a) -> int:
-    listing_pages = spark.read.schema("year INT, html STRING").json(a.listings)
-    if a.years:
-        listing_pages = listing_pages.where(f"year BETWEEN {int(a.years[0])} AND {int(a.years[1])}")
-    _save(ingest.discover_speeches(_known(spark, a.catalog, "speeches"), listing_pages, a.base_url), a.out, "speeches")
+    """Discovery from the listing pages of some years, fetching of texts."""
+    table = _known(spark, a.catalog, "speeches")
+    every = not (a.discovery_only or a.fetch_only)
+    if every or a.discovery_only:
+        last = a.end_year or datetime.date.today().year
+        urls = {y: names.listing_address(a.base_url, y) for y in range(a.start_year, last + 1)}
+        table = ingest.discover_speeches(table, pages.listing_pages(spark, urls, pages.polite(a.get, a.delay)), a.base_url)
+    if every or a.fetch_only:
+        table = ingest.fetch_speeches(table, pages.polite(a.get, a.delay), a.limit)
+    _save(table, a.out, "speeches")
     return 0
 
 
@@ -103,15 +115,22 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--base-url", default="")
     d.add_argument("--categories", nargs="+", default=["St", "Mn"])
     stage = d.add_mutually_exclusive_group()
-    stage.add_argument("--discovery-only", action="store_true")
-    stage.add_argument("--parse-only", action="store_true")
+    for name in ("--discovery-only", "--fetch-only", "--parse-only"):
+        stage.add_argument(name, action="store_true")
+    d.add_argument("--limit", type=int, default=None, help="pages to fetch; 0 means all")
+    d.add_argument("--delay", type=float, default=1.5)
     d.set_defaults(run=run_documents)
     s = sub.add_parser("speeches")
     s.add_argument("--catalog", required=True)
     s.add_argument("--out", required=True)
-    s.add_argument("--listings", required=True, help="JSON lines of year and html")
-    s.add_argument("--years", nargs=2, type=int, default=None)
     s.add_argument("--base-url", default="")
+    s.add_argument("--start-year", type=int, default=1996)
+    s.add_argument("--end-year", type=int, default=None)
+    stage = s.add_mutually_exclusive_group()
+    for name in ("--discovery-only", "--fetch-only"):
+        stage.add_argument(name, action="store_true")
+    s.add_argument("--limit", type=int, default=None, help="speeches to fetch; 0 means all")
+    s.add_argument("--delay", type=float, default=2.0)
     s.set_defaults(run=run_speeches)
     c = sub.add_parser("check")
     c.add_argument("--catalog", required=True)
@@ -127,8 +146,9 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, get: Callable[[str], str | None] = pages.http_get) -> int:
     a = parser().parse_args(argv)
+    a.get = get
     return a.run(SparkSession.builder.appName("proseflow").getOrCreate(), a)
 
 

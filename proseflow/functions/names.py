@@ -42,6 +42,11 @@ def listing_url(base: str, year: Column, last_old: int = 2010) -> Column:
     return F.when(year <= last_old, F.concat(stem, F.lit("speech.htm"))).otherwise(F.concat(stem, F.lit("-speeches.htm")))
 
 
+def listing_address(base: str, year: int, last_old: int = 2010) -> str:
+    """The same for one year, as a string."""
+    return f"{base}/newsevents/speech/{year}" + ("speech.htm" if year <= last_old else "-speeches.htm")
+
+
 def item_id(kind: Column, dt: Column, d: Column) -> Column:
     """Kind and publication date (meeting date if that is empty) without dashes."""
     return F.concat(kind, F.lit("_"), F.replace(F.coalesce(F.nullif(dt, F.lit("")), d, F.lit("unknown")), F.lit("-"), F.lit("")))

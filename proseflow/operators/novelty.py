@@ -18,6 +18,23 @@ def dedup_longest(docs: DataFrame, keys: Sequence[str], order: Sequence[str], te
     return docs.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+#: Parts of a vocabulary that are ranked by themselves first.
+PARTS = 64
+
+
+def _vocabulary(stats: DataFrame, series: Sequence[str], size: int) -> DataFrame:
+    """Of each series the size terms with the largest counts (ties by term).
+
+    Ranked in parts by a hash of the term first: one task never holds all the distinct terms of a large series.
+    """
+    best = (F.desc("all"), F.col("term"))
+    part = F.pmod(F.xxhash64("term"), F.lit(PARTS))
+    few = stats.withColumn("__part", part).withColumn("__rn", F.row_number().over(W.partitionBy(*series, "__part").orderBy(*best))).where(F.col("__rn") <= size).drop("__part", "__rn")
+    if not series:
+        return few.orderBy(*best).limit(size)
+    return few.withColumn("__rn", F.row_number().over(W.partitionBy(*series).orderBy(*best))).where(F.col("__rn") <= size).drop("__rn")
+
+
 def weights(docs: DataFrame, series: Sequence[str], doc: Sequence[str], text_col: str = "text", max_features: int = 10_000, stop_words: Sequence[str] | None = None) -> DataFrame:
     """``series, doc, term, w``: tf times smoothed idf, each document's vector of norm one.
 
@@ -29,8 +46,7 @@ def weights(docs: DataFrame, series: Sequence[str], doc: Sequence[str], text_col
     found = docs.select(*keys, F.explode(terms(F.col(text_col))).alias("term"))
     tf = (found.where(~F.col("term").isin(stop)) if stop else found).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     stats = tf.groupBy(*series, "term").agg(F.sum("tf").alias("all"), F.count("*").alias("df"))
-    rank = F.row_number().over(W.partitionBy(*series).orderBy(F.desc("all"), "term")) if series else F.row_number().over(W.orderBy(F.desc("all"), "term"))
-    vocabulary = stats.withColumn("__rn", rank).where(F.col("__rn") <= max_features).select(*series, "term", "df")
+    vocabulary = _vocabulary(stats, series, max_features).select(*series, "term", "df")
     n = docs.groupBy(*series).agg(F.count("*").alias("n")) if series else docs.agg(F.count("*").alias("n"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     known = vocabulary.join(F.broadcast(n), list(series)) if series else vocabulary.crossJoin(F.broadcast(n))
@@ -50,9 +66,10 @@ def novelty(docs: DataFrame, series: Sequence[str] = ("source_type",), date: str
     one = dedup_longest(dated, [*series, date], order, text_col).select(*series, date, text_col)
     before = one.select(*series, date, F.lag(date).over(W.partitionBy(*series).orderBy(date)).alias("prev"))
     w = weights(one, series, [date], text_col, **how)
-    now = w.join(before.where("prev IS NOT NULL"), [*series, date])
-    then = w.select(*series, F.col(date).alias("prev"), "term", F.col("w").alias("w0"))
-    alike = now.join(then, [*series, "prev", "term"]).groupBy(*series, date).agg(F.sum(F.col("w") * F.col("w0")).alias("sim"))
+    # A term's weights in date order: the one before is the predecessor's if it is of the date before.
+    by_term = W.partitionBy(*series, "term").orderBy(date)
+    pairs = w.select(*series, date, "w", F.lag(date).over(by_term).alias("d0"), F.lag("w").over(by_term).alias("w0")).where("d0 IS NOT NULL")
+    alike = pairs.join(before, [*series, date]).where("d0 = prev").groupBy(*series, date).agg(F.sum(F.col("w") * F.col("w0")).alias("sim"))
     scored = before.join(alike, [*series, date], "left").select(
         *series, date, F.when(F.col("prev").isNull(), F.lit(1.0)).otherwise(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("sim", F.lit(0.0))))).alias("novelty"))
     return docs.select(*series, date, *order).join(scored, [*series, date], "left")

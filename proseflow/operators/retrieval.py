@@ -20,14 +20,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, id_col: str = "vec_
     """``query_id, vec_id, rank, score``: of all other vectors the k nearest to each query (ties by id).
 
     Queries are few by nature (their number is checked) and go to the corpus, which isn't shuffled: each partition keeps
-    its k nearest for each query before those are brought together.
+    its k nearest for each query before those are brought together (Spark puts a group limit before the shuffle).
     """
     n = queries.limit(MOST_QUERIES + 1).count()
     if n > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries; call again for parts of them")
     q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("__q")))
     pairs = corpus.select(id_col, vec_col).join(q, F.col(id_col) != F.col("query_id")).select("query_id", id_col, cosine(F.col("__q"), F.col(vec_col)).alias("score"))
-    part = pairs.where("score IS NOT NULL").withColumn("__p", F.spark_partition_id())
-    w = lambda *by: W.partitionBy(*by).orderBy(F.desc("score"), id_col)
-    few = part.withColumn("rank", F.row_number().over(w("query_id", "__p"))).where(F.col("rank") <= k)
-    return few.withColumn("rank", F.row_number().over(w("query_id"))).where(F.col("rank") <= k).select("query_id", id_col, "rank", "score")
+    ranked = pairs.where("score IS NOT NULL").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col)))
+    return ranked.where(F.col("rank") <= k).select("query_id", id_col, "rank", "score")

@@ -5,7 +5,11 @@ No Catalyst expression parses real HTML, so this is an Arrow-batched Python func
 
 from __future__ import annotations
 
+import http.client
+import re
 import sys
+import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -164,6 +168,39 @@ def listings(pages: DataFrame, recent: Callable[[Column], Column] = lambda year:
     return pages.select("year", F.inline(run(F.col("html"), recent(F.col("year")))))
 
 
+def http_get(url: str, timeout: float = 30.0, agent: str = "proseflow/1.0") -> str | None:
+    """A page's text, in the encoding it declares or else UTF-8; null if it can't be got."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+            body, named = r.read(), r.headers.get_content_charset()
+    except (OSError, ValueError, http.client.HTTPException):
+        return None
+    declared = re.search(rb"charset=[\"']?([\w-]+)", body[:2048])
+    for encoding in (named, declared and declared[1].decode("ascii", "replace"), "utf-8"):
+        try:
+            if encoding:
+                return body.decode(encoding)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return body.decode("latin-1")
+
+
+def polite(get: Callable[[str], str | None], seconds: float) -> Callable[[str], str | None]:
+    """get with a pause after each call; one site wants one partition, so that pauses hold for all calls."""
+    def slow(url: str) -> str | None:
+        found = get(url)
+        time.sleep(seconds)
+        return found
+
+    return slow
+
+
+def listing_pages(spark, urls: dict[int, str], get: Callable[[str], str | None]) -> DataFrame:
+    """``year, html`` of listing pages, a page a year; failed pages have null and no entries."""
+    queue = spark.createDataFrame([(y, u) for y, u in urls.items()], "id long, html_url string").coalesce(1)
+    return fetched(queue, get).select(F.col("id").cast("int").alias("year"), F.col("raw_html").alias("html"))
+
+
 def fetched(queue: DataFrame, get: Callable[[str], str | None], url_col: str = "html_url") -> DataFrame:
     """``id, raw_html``: pages got by a function that returns null on failure; one failed page fails nothing else."""
     def run(batches):

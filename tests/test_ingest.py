@@ -107,6 +107,32 @@ def test_stream_inserts_each_key_once(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [("a", 0), ("b", 2)]
 
 
+def test_command_line_stages(spark, tmp_path):
+    home = str(tmp_path)
+    (tmp_path / "feed.json").write_text(fixtures.FEEDS.rows[0][1], encoding="utf-8")
+    web = {f"{BASE}/a.htm": STATEMENT, f"{BASE}/m.htm": MINUTES, f"{BASE}/newsevents/speech/2024-speeches.htm": '<div class="eventlist__event"><a href="/s/20240131a.htm">T</a>\n\nGovernor P\n</div>', f"{BASE}/s/20240131a.htm": '<div id="article"><p>1</p><p>2</p><div>Words.</div></div>'}
+    site = ["--base-url", BASE, "--delay", "0"]
+    assert cli.main(["documents", "--catalog", home, "--out", f"{home}/a", "--feeds", f"{home}/feed.json", "--discovery-only", *site], web.get) == 0
+    assert spark.read.parquet(f"{home}/a/documents.parquet").where("fetched").count() == 0
+    assert cli.main(["documents", "--catalog", f"{home}/a", "--out", f"{home}/b", "--fetch-only", "--limit", "0", *site], web.get) == 0
+    assert cli.main(["documents", "--catalog", f"{home}/b", "--out", f"{home}/c", "--parse-only"], web.get) == 0
+    assert spark.read.parquet(f"{home}/c/documents.parquet").where("parsed").count() == 2
+    assert cli.main(["speeches", "--catalog", home, "--out", f"{home}/a", "--start-year", "2010", "--end-year", "2024", *site], web.get) == 0
+    assert [r.speech_text for r in spark.read.parquet(f"{home}/a/speeches.parquet").collect()] == ["Words."]
+    assert pages.http_get("http://127.0.0.1:9/none") is None and pages.http_get("no address") is None
+
+
+def test_stream_counts_by_window(spark, tmp_path):
+    import datetime as dt
+
+    spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), k) for m, k in ((1, "a"), (2, "a"), (7, "b"))], "ts timestamp, kind string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "in"))
+    q = streaming.windowed_counts(stream, "ts", "5 minutes", "10 minutes", "kind").writeStream.outputMode("complete").format("memory").queryName("counts").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.kind, r.n) for r in spark.sql("SELECT * FROM counts").collect()) == [("a", 2), ("b", 1)]
+
+
 def test_command_line(spark, tmp_path, capsys):
     home = str(tmp_path)
     spark.createDataFrame([(1, datetime.date(2024, 1, 1), "t", "s", "e", "l", "Inflation needs tightening.", None, True), (2, None, "t", "s", "e", "", None, None, False)], schemas.SPEECHES).write.parquet(f"{home}/speeches.parquet")
