@@ -100,8 +100,9 @@ def forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(TILE, n, TILE):
         most = np.bincount(label).argmax()
         tile, rest = every[i : i + TILE], every[i:]
+        inside, outside = tile[label[tile] == most], rest[label[rest] != most]  # before labels change
         meet(tile[label[tile] != most], rest)
-        meet(tile[label[tile] == most], rest[label[rest] != most])
+        meet(inside, outside)
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
