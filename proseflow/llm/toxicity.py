@@ -1,10 +1,11 @@
 """Toxicity as a weighted finite-state grammar over clauses.
 
-The insult lexicon is learned from labelled documents: whole words and word beginnings whose documents are toxic more
-often than chance allows. Copies of a document would lend all their words false support, so a feature's documents
-count once for each distinct context (the neighbours of the word). A grammar of five small transducers, composed in
-one scan over each clause, then scores what was matched: insults from the lexicon, threats (a verb of harm followed by
-a target), targets near an insult, negators before it, and reporting verbs before it.
+The insult lexicon is learned from labelled documents: whole words, and beginnings of longer words, whose documents are
+toxic more often than chance allows. Copies of a document would lend all their words false support, so a feature's
+documents count once for each distinct context (the neighbours of the word). A grammar of five small transducers,
+composed in one scan over each clause, then weighs what was matched: insults from the lexicon, threats (a verb of harm
+followed by a target), targets near an insult, negators before it, and reporting verbs before it. A text's score is the
+posterior of a Poisson model: what its clauses add up to, less what a toxic text of its length would have brought.
 
 Learning reads a sample of labelled rows whose expected size is a parameter; scoring covers every text in full.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -36,9 +38,11 @@ HARM = frozenset("kill hurt destroy murder stab shoot beat töten umbringen tuer
 THREAT, TARGET, NEGATED, REPORTED = 4.0, 1.0, 0.6, 0.8
 #: Words over which a target, negator or harm verb reaches.
 REACH = 4
-#: Log-odds of a text without any match, and the most that matches add.
-BIAS, MOST = -3.0, 12.0
-PREFIXES = (4, 5, 6)
+#: Largest log-odds of a text about which nothing is known, and the bound of all log-odds.
+BIAS, MOST = -2.0, 12.0
+#: Lengths of word beginnings; how much likelier a feature must be in a toxic document; least weight.
+PREFIXES = (3, 4, 5, 6, 7, 8)
+RATIO, LEAST = 4.0, 1.5
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -46,17 +50,20 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 @dataclass
 class Model:
-    """Weights of words and of word beginnings by length."""
+    """Weights of words and of beginnings of longer words; log-odds of an unknown text; matches a word in toxic texts."""
 
     words: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
+    bias: float = BIAS
+    per_word: float = 0.0
 
     def weight(self, word: str) -> float:
-        best = self.words.get(word, 0.0)
-        for n in PREFIXES:
-            if len(word) >= n:
-                best = max(best, self.starts.get(word[:n], 0.0))
-        return best
+        return max((w for _, w in self.matches(word)), default=0.0)
+
+    def matches(self, word: str) -> list[tuple[str, float]]:
+        """Features of the word and their weights."""
+        found = [("=" + word, self.words[word])] if word in self.words else []
+        return found + [("^" + word[:n], self.starts[word[:n]]) for n in PREFIXES if n < len(word) and word[:n] in self.starts]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,22 +73,48 @@ def held_out(doc_id: Column) -> Column:
 
 def _features(word: Column) -> Column:
     parts = [F.concat(F.lit("="), word)]
-    parts += [F.when(F.length(word) >= n, F.concat(F.lit("^"), F.substring(word, 1, n))) for n in PREFIXES]
+    parts += [F.when(F.length(word) > n, F.concat(F.lit("^"), F.substring(word, 1, n))) for n in PREFIXES]
     return F.array_compact(F.array(*parts))
 
 
-def _pruned(found: list) -> Model:
-    """Without beginnings that a longer feature explains: those of at least four fifths of the same contexts."""
-    support = {r["f"]: r["a"] for r in found}
+def _pruned(support: dict[str, int]) -> Model:
+    """Without beginnings that a longer feature explains: one of at least four fifths of the same contexts."""
     model = Model()
-    for r in found:
-        f, body = r["f"], r["f"][1:]
-        if f[0] == "^" and any(g != f and g[1:].startswith(body) and (g[0] == "=" or len(g) > len(f)) and a >= 0.8 * r["a"] for g, a in support.items()):
+    for f, a in support.items():
+        body = f[1:]
+        if f[0] == "^" and any(g != f and g[1:].startswith(body) and n >= 0.8 * a for g, n in support.items()):
             continue
-        (model.words if f[0] == "=" else model.starts)[body] = r["w"]
+        (model.words if f[0] == "=" else model.starts)[body] = 1.0
     return model
 
 
+def _rates(texts: DataFrame, model: Model) -> Model:
+    """The model with weights: how much more often a feature occurs, per word, in toxic texts than in others."""
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _WORD.findall((text or "").lower())
+                seen[toxic, ""] += len(words)
+                for w in words:
+                    if got := model.matches(w):
+                        seen[toxic, "*"] += 1
+                        seen.update((toxic, f) for f, _ in got)
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["toxic", "f", "n"])
+
+    counted = texts.select("toxic", "text").mapInArrow(count, "toxic int, f string, n long").groupBy("toxic", "f").agg(F.sum("n").alias("n"))
+    n = {(r["toxic"], r["f"]): r["n"] for r in counted.collect()}  # twice the model's features
+    all1, all0 = n.get((1, ""), 0) + 1, n.get((0, ""), 0) + 1
+    out = Model(bias=model.bias, per_word=max(0.0, n.get((1, "*"), 0) / all1 - n.get((0, "*"), 0) / all0))
+    for sign, own, new in (("=", model.words, out.words), ("^", model.starts, out.starts)):
+        for body in own:
+            w = math.log((n.get((1, sign + body), 0) + 0.5) / all1) - math.log((n.get((0, sign + body), 0) + 0.5) / all0)
+            if w >= LEAST:
+                new[body] = w
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2_000, most_features: int = 2_000, seed: int = 11) -> Model:
     """Learns the lexicon from labelled rows outside the held-out part.
 
@@ -97,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2_000, most_fe
         return Model()
     share = F.when(F.col("toxic") == 1, F.lit(rows_per_class / have[1])).otherwise(F.lit(rows_per_class / have[0]))
     sample = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most about 2 x rows_per_class ids
+    texts = checkpointed(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # at most about 2 x rows_per_class ids
     placed = texts.select("doc_id", "toxic", raw_words(F.lower("text")).alias("w")).select("doc_id", "toxic", "w", F.posexplode("w").alias("at", "word"))
     near = placed.select("doc_id", "toxic", "word", F.xxhash64(F.when(F.col("at") > 0, F.get("w", F.col("at") - 1)), F.lit(0), F.get("w", F.col("at") + 1)).alias("ctx"))
     once = near.groupBy("doc_id", "toxic", "word").agg(F.min("ctx").alias("ctx"))
@@ -109,15 +142,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2_000, most_fe
     q = n1 / (n1 + n0)
     n = F.col("a") + F.col("b")
     kl = F.col("a") * F.log(F.col("a") / n / q) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / (1 - q))).otherwise(0.0)
-    w = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    # A Chernoff bound on chance, times the features tried, leaves less than one false feature to expect.
-    sure = counts.where((F.col("a") >= 3) & (F.col("a") > 9 * F.col("b")) & (kl > math.log(max(tried, 2))))
-    return _pruned(sure.select("f", "a", w.alias("w")).orderBy(F.desc("w"), "f").limit(most_features).collect())
+    # Chernoff's bound on chance, times the features tried: few false features are to be expected (the bound is loose by a
+    # factor of e squared and more at these counts).
+    likelier = F.col("a") / n1 > RATIO * F.col("b") / n0
+    sure = counts.where((F.col("a") >= 3) & likelier & (kl > math.log(max(tried, 2)) - 2))
+    best = sure.select("f", "a", kl.alias("kl")).orderBy(F.desc("kl"), "f").limit(most_features).collect()
+    model = _rates(texts, _pruned({r["f"]: r["a"] for r in best}))
+    model.bias = min(BIAS, math.log(have[1] / have[0]))
+    return model
 
 
 def clause_score(words: list[str], weight) -> float:
-    """The best-scoring match in a clause, in one scan that carries the state of all transducers."""
-    best, denied, told, harm, aimed, insult, insult_at = 0.0, -REACH - 1, False, -REACH - 1, -REACH - 1, 0.0, -REACH - 1
+    """What a clause adds to a text's log-odds, from one scan that carries the state of all transducers."""
+    total, denied, told, harm, aimed, insult_at = 0.0, -REACH - 1, False, -REACH - 1, -REACH - 1, -REACH - 1
     for i, w in enumerate(words):
         if w in NEGATORS:
             denied = i
@@ -127,33 +164,40 @@ def clause_score(words: list[str], weight) -> float:
             harm = i
         if w in TARGETS:
             if i - harm <= REACH:
-                best = max(best, THREAT * (NEGATED if harm - denied <= REACH else 1) * (REPORTED if told else 1))
+                total += THREAT * (NEGATED if harm - denied <= REACH else 1) * (REPORTED if told else 1)
+                harm = -REACH - 1
             if i - insult_at <= REACH:
-                best = max(best, insult + TARGET)
+                total += TARGET
+                insult_at = -REACH - 1
             aimed = i
         if (got := weight(w)) > 0:
-            insult, insult_at = got * (NEGATED if i - denied <= REACH else 1) * (REPORTED if told else 1), i
-            best = max(best, insult + (TARGET if i - aimed <= REACH else 0))
-    return best
+            total += got * (NEGATED if i - denied <= REACH else 1) * (REPORTED if told else 1)
+            if i - aimed <= REACH:
+                total += TARGET
+                aimed = -REACH - 1
+            else:
+                insult_at = i
+    return total
 
 
 def score_text(text: str | None, model: Model, cache: dict[str, float]) -> tuple[float, int]:
     """Probability of the toxic label, and how many clauses matched."""
     low = (text or "").lower()
+    words = _WORD.findall(low)
     hit = False
-    for w in set(_WORD.findall(low)):
+    for w in set(words):
         if w not in cache:
             if len(cache) > 200_000:
                 cache.clear()
             cache[w] = model.weight(w)
         hit = hit or cache[w] > 0 or w in HARM
-    total, clauses = 0.0, 0
+    total, clauses = model.bias - len(words) * model.per_word, 0
     if hit:
         for clause in _CLAUSE.split(low):
             got = clause_score(_WORD.findall(clause), lambda w: cache[w] if w in cache else model.weight(w))
             total += got
             clauses += got > 0
-    return 1 / (1 + math.exp(-BIAS - min(total, MOST))), clauses
+    return 1 / (1 + math.exp(-max(-MOST, min(total, MOST)))), clauses
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity", matched: str = "toxic_clauses") -> DataFrame:

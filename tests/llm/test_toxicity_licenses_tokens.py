@@ -58,7 +58,7 @@ def test_edge_rows(spark):
     got = [(r.doc_id, r.toxicity) for r in out.collect()]
     assert out.columns == ["doc_id", "text", "score", "toxicity", "toxic_clauses"] and len(got) == 7
     by = dict(got)
-    assert by[1] == by[2] == by[3] < 0.1 and by[4] > 0.9 and by[None] > 0.3 and by[5] > 0.3
+    assert by[1] == by[2] == by[3] < 0.2 and by[4] > 0.9 and by[None] > 0.3 and by[5] > 0.3
     empty = spark.createDataFrame([], DOCS)
     assert toxicity.scored(empty, model).count() == 0
     assert toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int")) == toxicity.Model()
@@ -67,7 +67,7 @@ def test_edge_rows(spark):
 def test_grammar():
     weight = {"grub": 6.0}.get
     score = lambda t: toxicity.clause_score(t.split(), lambda w: weight(w, 0.0))
-    assert score("you grub") == score("grub are you") == 6 + toxicity.TARGET and score("a grub") == 6
+    assert score("you grub") == score("grub are you") == 6 + toxicity.TARGET and score("a grub") == 6 and score("grub grub") == 12
     assert score("not a grub") == 6 * toxicity.NEGATED and score("he said grub") < 6 + toxicity.TARGET
     assert score("kill you") == toxicity.THREAT > score("not kill you") and score("kill time") == 0 and score("") == 0
 
