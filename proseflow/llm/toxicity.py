@@ -88,6 +88,17 @@ def _pruned(support: dict[str, int]) -> Model:
     return model
 
 
+def _is_mixture(f: str, features: list[str], n: dict) -> bool:
+    """Whether a beginning's toxic matches are mostly those of longer features that are several times purer."""
+    impure = n.get((0, f), 0) / max(1, n.get((1, f), 0))
+    purer: list[str] = []
+    for g in sorted((g for g in features if g != f and g[1:].startswith(f[1:])), key=lambda g: (len(g), g)):
+        apart = not any(h[0] == "^" and g[1:].startswith(h[1:]) for h in purer)
+        if apart and (n.get((0, g), 0) + 1) / (n.get((1, g), 0) + 1) < impure / 4:
+            purer.append(g)
+    return sum(n.get((1, g), 0) for g in purer) >= 0.8 * max(1, n.get((1, f), 0))
+
+
 def _rates(texts: DataFrame, model: Model) -> Model:
     """The model with weights: how much more often a feature occurs, per word, in toxic texts than in others."""
     def count(batches):
@@ -107,8 +118,10 @@ def _rates(texts: DataFrame, model: Model) -> Model:
     n = {(r["toxic"], r["f"]): r["n"] for r in counted.collect()}  # twice the model's features
     all1, all0 = n.get((1, ""), 0) + 1, n.get((0, ""), 0) + 1
     out = Model(bias=model.bias, per_word=max(0.0, n.get((1, "*"), 0) / all1 - n.get((0, "*"), 0) / all0))
+    features = ["=" + w for w in model.words] + ["^" + w for w in model.starts]
+    mixed = {f[1:] for f in features if f[0] == "^" and _is_mixture(f, features, n)}
     for sign, own, new in (("=", model.words, out.words), ("^", model.starts, out.starts)):
-        for body in own:
+        for body in own.keys() - (mixed if sign == "^" else set()):
             w = math.log((n.get((1, sign + body), 0) + 0.5) / all1) - math.log((n.get((0, sign + body), 0) + 0.5) / all0)
             if w >= LEAST:
                 new[body] = w
