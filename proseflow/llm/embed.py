@@ -201,3 +201,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = 1
     good = rows.where("embedding IS NOT NULL").select("vec_id", "h").join(by_class, "h").select("vec_id", "n_links", "component_id")
     alone = rows.where("embedding IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionAll(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: The query's rows from the cosines of all pairs, for tables small enough.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+c(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, m.r AS component_id, e.vec_id = m.r AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(r) AS r FROM c GROUP BY vec_id) m USING (vec_id) LEFT JOIN n USING (vec_id)
+"""

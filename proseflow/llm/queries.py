@@ -81,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op1_poisson_mixing": mix.oracle(),
     "op2_chat_snapshot_collapse": chat.ORACLE,
     "op4_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_projection_passes": embed.ORACLE,
 }
