@@ -70,6 +70,14 @@ def test_insert_or_ignore_and_updates(spark):
     assert sorted(tuple(r) for r in merge.replace_by_key(old, up.where("id = 3"), ["id"]).collect()) == [(1, "a"), (3, "x")]
 
 
+def test_tables_are_created_once(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS catalog_test LOCATION '{tmp_path}'")
+    for _ in range(2):
+        schemas.create_tables(spark, "catalog_test")
+    assert {f.name for f in spark.table("catalog_test.chunks").schema} == {f.name for f in schemas.CHUNKS}
+    spark.sql("DROP DATABASE catalog_test CASCADE")
+
+
 def test_consolidation(spark):
     chunk = "id long, source_type string, source_id long, chunk_index int"
     a = spark.createDataFrame([(1, "speech", 1, 0), (2, "speech", 1, 1)], chunk)
