@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import re
 import shutil
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Everything that is no word character once A-Z count as letters; the words between are split out by it.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -32,6 +36,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def values(column, step: int = 256):
+    """An Arrow column's values; only so many of them are Python objects at once, as texts may be long."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def own_exchange(key: Column) -> Column:
     """The same 64-bit key, but not known to Catalyst as the column its rows are partitioned by.
 

@@ -19,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -74,7 +76,7 @@ def build_index(docs: DataFrame, text_col: str = "text") -> Index:
         seen: Counter = Counter()
         n = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in values(batch.column(0)):
                 n += 1
                 seen.update(vocabulary.intersection(words_of(t)))
         seen[b""] = n
@@ -153,7 +155,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **h
 
     def run(batches):
         for batch in batches:
-            got = [scan(t, index, **how) for t in batch.column(1).to_pylist()]
+            got = [scan(t, index, **how) for t in values(batch.column(1))]
             new = [pa.array([g[i] for g in got], kind) for i, (_, kind) in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["doc_id", *(n for n, _ in kinds)])
 

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, own_exchange
+from .common import checkpointed, components, own_exchange, values
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,7 +50,7 @@ def fingerprint_of(text: bytes | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        fps = [fingerprint_of(t) for t in batch.column(1).to_pylist()]
+        fps = [fingerprint_of(t) for t in values(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "th"])
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import values
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The split before merges that the vocabularies in ranks form go with; a fixed value.
@@ -72,7 +74,7 @@ def lengths(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text")
         seen: Counter = Counter()
         enc = encoder(sent.value, pattern)
         for batch in batches:
-            seen.update(length_of(t, enc) for t in batch.column(0).to_pylist())
+            seen.update(length_of(t, enc) for t in values(batch.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "n"])
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long, n long")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, raw_words
+from .common import checkpointed, raw_words, values
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -104,7 +104,7 @@ def _rates(texts: DataFrame, model: Model) -> Model:
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for toxic, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 words = _WORD.findall((text or "").lower())
                 seen[toxic, ""] += len(words)
                 for w in words:
@@ -226,7 +226,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "to
     def run(batches):
         cache: dict[str, float] = {}
         for batch in batches:
-            got = [score_text(t, model, cache) for t in batch.column(at).to_pylist()]
+            got = [score_text(t, model, cache) for t in values(batch.column(at))]
             new = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, out, matched])
 
