@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proseflow.functions.text import strip
+
 
 def role(speaker: Column) -> Column:
     """Rank by the first title that the name holds; null and others read Other."""
@@ -64,7 +66,7 @@ def item_urls(base: str, files: Column, url: Column) -> tuple[Column, Column]:
 
 def event_parts(text: Column, skipped: Sequence[str] = ("Watch Live", "Video")) -> Column:
     """(title, speaker, event) of an entry's lines; event is empty where absent; null where lines don't suffice."""
-    parts = F.filter(F.transform(F.split(text, "\n", -1), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    parts = F.array_remove(F.transform(F.split(text, "\n", -1), strip), "")
 
     def told(p):
         at = F.when(F.get(p, F.lit(1)).isin(list(skipped)), 2).otherwise(1)

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from proseflow.config import CONTRASTIVES, DOCUMENT_NOISE, END_KEYWORDS, SENTINEL, SPEECH_NOISE
 
-#: White space as Python strips it: Unicode's, and the four information separators.
-_SPACE = r"[\s\x1C-\x1F]"
+#: White space as Python strips it: Unicode's, and the four information separators; for sets of characters and for patterns.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:
@@ -24,23 +25,26 @@ def normalize(text: Column) -> Column:
 
     Lines are stripped after blank lines are collapsed, so lines of blanks can leave three LF in a row.
     """
-    steps = ((r"\r\n?", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", "\n"), (r"(?U)[\s\x1C-\x1F&&[^\n]]*\n[\s\x1C-\x1F&&[^\n]]*", "\n"))
-    return strip(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text))
+    steps = ((r"\r\n?", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", "\n"))
+    lines = F.split(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text), "\n", -1)
+    return strip(F.array_join(F.transform(lines, strip), "\n"))
 
 
 def _stripped(parts: Column) -> Column:
-    return F.filter(F.transform(parts, strip), lambda p: p != "")
+    return F.array_remove(F.transform(parts, strip), "")
 
 
 def split_sentences(text: Column, contrastives: Sequence[str] = CONTRASTIVES) -> Column:
     """Sentences, each cut once at the first listed contrastive word it holds; the word goes, empty parts go."""
-    sentences = _stripped(F.split(text, r"(?U)(?<=[.!?])\s+", -1))
+    sentences = _stripped(F.split(text, rf"(?<=[.!?])[{_SPACE}]+", -1))
 
     def clauses(s):
         out = F.when(F.lit(False), F.array(s))
         for word in contrastives:
             at = rf"(?iU)\b{word}\b"
-            out = out.when(s.rlike(at), F.split(s, at, 2))
+            # Most sentences are told by a plain search; where letters outside ASCII may fold to the word's, the pattern says.
+            perhaps = F.contains(F.lower(s), F.lit(word.lower())) | (F.octet_length(s) != F.length(s))
+            out = out.when(perhaps & s.rlike(at), F.split(s, at, 2))
         return out.otherwise(F.array(s))
 
     return _stripped(F.flatten(F.transform(sentences, clauses)))
@@ -101,7 +105,7 @@ def old_layout_body_by_year(text: Column, year: Column, keywords: Sequence[str]
 
 def words(text: Column) -> Column:
     """Pieces between white space; null stays null."""
-    return F.filter(F.split(text, r"(?U)[\s\x1C-\x1F]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, rf"[{_SPACE}]+", -1), "")
 
 
 def word_count(text: Column) -> Column:
@@ -130,7 +134,7 @@ def chunks(text: Column, max_tokens: int = 400, advance: int = 100, chars_per_to
     A chunk takes paragraphs while they fit into max_tokens, the first always. The next starts where advance tokens are
     passed, or where this one ended if that comes first. One fold finds the starts; each chunk is then cut by itself.
     """
-    paragraphs = F.filter(F.transform(F.split(text, separator, -1), strip), lambda p: p != "")
+    paragraphs = _stripped(F.split(text, separator, -1))
 
     def let(value, use):
         return F.transform(F.array(value), use)[0]

@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it is read in fewer parts than there are.
+
+    Files of a few row groups would keep most cores idle. Large inputs have more parts than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet")
+    return spread(spark.read.parquet(f"{path}/{name}.parquet"))
 
 
 def _records(df: DataFrame, kind: str, doc_id: str, date: str, text: str, limit: int | None) -> DataFrame:

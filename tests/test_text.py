@@ -32,14 +32,14 @@ def plain_sentences(t):
 
 def test_normalize(spark):
     rnd = random.Random(1)
-    parts = ["a", "Bé", " ", "  ", "\t", "\n", "\r\n", "\r", "\n\n\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", " ", " ", "."]
+    parts = ["a", "Bé", " ", "  ", "\t", "\n", "\r\n", "\r", "\n\n\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\u2028", "\u3000", "\xa0", "\u200b", "."]
     values = ["", "  a  ", "a\n\n\n\nb", "a \t b", "a\r\nb", "Case Kept", "a\n \n \nb", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(25))) for _ in range(2000))]
     assert column(spark, values, text.normalize) == [plain_normalize(v) for v in values]
 
 
 def test_sentences(spark):
     rnd = random.Random(2)
-    parts = ["But", "but", "however", "ALTHOUGH", "while", "butter", "abut", "x", ".", "!", "? ", " ", "  ", "\n", ",", "é", "1.5"]
+    parts = ["But", "but", "however", "ALTHOUGH", "while", "WHILE", "butter", "abut", "x", ".", "!", "? ", " ", "  ", "\n", ",", "é", "1.5", "\u2003", "\x1f"]
     values = ["", "One. Two.", "Prices rose but jobs fell.", "However, easing.", "No end", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(20))) for _ in range(2000))]
     assert column(spark, values, text.split_sentences) == [plain_sentences(v) for v in values]
     assert column(spark, ["While costs fell, output grew but jobs did not."], text.split_sentences) == [["While costs fell, output grew", "jobs did not."]]
