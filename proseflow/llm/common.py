@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proseflow.sources.tables import read
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Everything that is no word character once A-Z count as letters; the words between are split out by it.
@@ -20,7 +22,7 @@ NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's reader touches the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def raw_words(text: Column) -> Column:
