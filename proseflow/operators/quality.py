@@ -47,13 +47,11 @@ def has_errors(issues: DataFrame) -> bool:
 
 
 def summary(issues: DataFrame, label: str) -> str:
-    """The report of a catalog in words; there are nine checks at most."""
+    """The findings of a catalog, a line each (nine at most), under a line with totals."""
     rows = issues.collect()
-    if not rows:
-        return f"=== Completeness report: {label} ===\n  All checks passed."
-    lines = [f"  [{'ERROR' if r['severity'] == 'error' else 'WARN '}] {r['table']}.{r['check']}: {r['count']} row(s) — {r['detail']}" for r in rows]
     errors = sum(r["severity"] == "error" for r in rows)
-    return "\n".join([f"=== Completeness report: {label} ===", *lines, f"  Totals: {errors} error(s), {len(rows) - errors} warning(s)"])
+    head = f"{label}: {errors} error(s), {len(rows) - errors} warning(s)" if rows else f"{label}: complete"
+    return "\n".join([head, *(f"  {r['severity']:7} {r['table']}.{r['check']} {r['count']} ({r['detail']})" for r in rows)])
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -241,6 +241,18 @@ def novelty_by_type(spark, d):
     return novelty.novelty(records(spark, d), stop_words=STOP).withColumn("novelty", F.round("novelty", 6))
 
 
+@query(f"""WITH one AS {_LONGEST},
+tok AS (SELECT source_type, date, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM one),
+tf AS (SELECT source_type, date, term, count(*) AS tf FROM tok WHERE term NOT IN ({quoted(STOP)}) GROUP BY ALL),
+b AS (SELECT source_type, date, lag(date) OVER s AS prev, row_number() OVER s AS n FROM one WINDOW s AS (PARTITION BY source_type ORDER BY date)),
+x AS (SELECT b.source_type, b.date AS d, b.n, tf.term, sum(tf) FILTER (WHERE tf.date = b.date) AS now, sum(tf) FILTER (WHERE tf.date = b.prev) AS old FROM b JOIN tf ON tf.source_type = b.source_type AND tf.date IN (b.date, b.prev) WHERE b.prev IS NOT NULL GROUP BY ALL),
+i AS (SELECT x.source_type, x.d, x.term, now, old, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM x JOIN tf f ON f.source_type = x.source_type AND f.term = x.term AND f.date <= x.d GROUP BY x.source_type, x.d, x.n, x.term, now, old),
+s AS (SELECT source_type, d AS date, sum(coalesce(now, 0) * coalesce(old, 0) * idf * idf) / sqrt(sum(coalesce(now, 0) ** 2 * idf * idf) * sum(coalesce(old, 0) ** 2 * idf * idf)) AS sim FROM i GROUP BY ALL)
+SELECT r.source_type, r.date, r.doc_id, round(CASE WHEN b.prev IS NULL THEN 1.0 ELSE 1 - least(1, greatest(0, coalesce(sim, 0))) END, 6) AS novelty FROM {RECORDS} r JOIN b USING (source_type, date) LEFT JOIN s USING (source_type, date)""")
+def novelty_so_far(spark, d):
+    return novelty.novelty(records(spark, d), stop_words=STOP, so_far=True).withColumn("novelty", F.round("novelty", 6))
+
+
 @query(f"WITH {_weights_sql('documents', '1', 'doc_id', 1000)} SELECT term, round(sum(w), 6) AS score FROM w GROUP BY term ORDER BY sum(w) DESC, term LIMIT 20")
 def tfidf_top_terms(spark, d):
     return novelty.top_terms(tables.read(spark, d, "documents"), ["doc_id"], stop_words=STOP).withColumn("score", F.round("score", 6))

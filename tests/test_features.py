@@ -77,6 +77,17 @@ def test_novelty_against_plain(spark):
         assert all(abs(r.novelty - want[r.source_type, str(r.date)]) < 1e-9 and 0 <= r.novelty <= 1 for r in got)
 
 
+def test_novelty_so_far_is_that_of_the_series_cut_off(spark):
+    """A document's score without later ones is the plain score of the series that ends with it."""
+    words = "rates prices jobs growth risk bank policy outlook the of".split()
+    rows = [("speech" if i % 3 else "document", f"2024-01-{1 + i * 7 % 20:02d}", i, " ".join(words[(i * j) % 10] for j in range(1, 4 + i % 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "source_type string, date string, doc_id int, text string").withColumn("date", F.to_date("date"))
+    got = {(r.source_type, str(r.date)): r.novelty for r in novelty.novelty(df, stop_words=("the", "of"), so_far=True).collect()}
+    for kind, date in got:
+        want = plain_novelty([r for r in rows if r[0] == kind and r[1] <= date], ("the", "of"))
+        assert abs(got[kind, date] - want[kind, date]) < 1e-9
+
+
 def test_novelty_cases(spark):
     def run(rows):
         df = spark.createDataFrame(rows, "source_type string, date string, doc_id int, text string").withColumn("date", F.to_date("date"))
