@@ -332,7 +332,17 @@ def apply_parse_updates(spark, d):
     return queues.apply_parse(cat, got).select("id", "doc_text", "parsed")
 
 
-@query()
+def _sql_article() -> str:
+    """Text of the article by patterns, which the pages at hand allow: no article in another, entities of a few kinds."""
+    x = r"regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+    for rx in ("(?s)<(script|style)[^>]*>.*?</(script|style)>", "(?s)<!--.*?-->", "<[^>]*>"):
+        x = f"regexp_replace({x}, '{rx}', '', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return x
+
+
+@query(f"SELECT page_id, {_sql_article()} AS text FROM pages")
 def html_article_text(spark, d):
     return tables.read(spark, d, "pages").select("page_id", pages.as_column(pages.article_text)(F.col("html")).alias("text"))
 
