@@ -39,28 +39,22 @@ def schedule(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list
     out = {}
     for cls, count, total in sorted(classes, reverse=True):
         size, got = total / count, [0] * shards
-
-        def deal(times: int, size: float = size, got: list[int] = got) -> None:
-            for _ in range(times):
-                load, s = heap[0]
-                heapq.heapreplace(heap, (load + size, s))
-                got[s] += 1
-
         while count and max(heap)[0] - heap[0][0] > size:
             load, s = heap[0]
-            room = sorted(heap)[1][0] if shards > 1 else load
-            fit = min(count, max(1, int((room - load) // size)))  # it stays the least loaded for so long
+            room = sorted(heap)[1][0] - load  # it stays the least loaded until it has caught up with the next
+            fit = min(count, max(1, int(room // size)))
             heapq.heapreplace(heap, (load + fit * size, s))
             got[s] += fit
             count -= fit
-        rounds = count // shards
-        if rounds:
-            heap = [(load + rounds * size, s) for load, s in heap]
-            heapq.heapify(heap)
-            got = [g + rounds for g in got]
-        before = got
-        deal(count - rounds * shards, size, before)
-        out[cls] = before
+        rounds, rest = divmod(count, shards)
+        heap = [(load + rounds * size, s) for load, s in heap]
+        heapq.heapify(heap)
+        got = [g + rounds for g in got]
+        for _ in range(rest):
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            got[s] += 1
+        out[cls] = got
     return out
 
 
