@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proseflow.llm import decontaminate, mix, shard, simhash, toxicity
+from proseflow.llm import decontaminate, mix, nearcopies, shard, toxicity
 from proseflow.llm.common import checkpointed, table
 
 
@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8): the smallest id."""
+    return nearcopies.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

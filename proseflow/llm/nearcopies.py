@@ -1,0 +1,161 @@
+"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, every link verified exactly.
+
+Texts whose sets of five-word shingles are equal are one class from the start. A class has BANDS keys of ROWS minima
+each; two classes at similarity s share none with probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8. Classes that
+share keys, directly or by others, are a crowd: one task compares its members by the 64-bit hashes of all their shingles.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import checkpointed, components, own_exchange, values
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Words of a shingle.
+WORDS = 5
+#: Keys of a set, and minima that make a key.
+BANDS, ROWS = 32, 5
+#: Shingles that are hashed by all functions at once.
+BLOCK = 512
+#: Sets of a crowd that are compared with all others before one component is left out.
+FIRST = 64
+
+_RND = np.random.default_rng(5)
+_TIMES = _RND.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RND.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
+_FOLD = _RND.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def hashes_of(text: bytes | None) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's shingles; a text of fewer words is one shingle."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+    k = min(WORDS, len(words))
+    n = len(words) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out = _mixed(out * np.uint64(0xC2B2AE3D27D4EB4F) + h[i : i + n])
+    return np.unique(out)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key per band; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), BLOCK):
+        np.minimum(least, (hashes[i : i + BLOCK, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return _mixed((_mixed(least).reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def _signed(batches):
+    for batch in batches:
+        sets, sizes, keys = [], [], []
+        for t in values(batch.column(1)):
+            h = hashes_of(t)
+            sets.append(xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63))
+            sizes.append(len(h))
+            keys.append(band_keys(h))
+        offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "th", "sh", "n", "keys"])
+
+
+def united(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """A label per set; equal where links at percent or more join them.
+
+    One set is compared with all by a count over the postings of its hashes. Once FIRST have been, members of what was
+    the largest component then need not be, as every set outside of it is compared with them.
+    """
+    size = np.array([len(h) for h in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]
+    ends = np.cumsum(np.bincount(ids))
+    starts, at = np.r_[0, ends[:-1]], np.r_[0, np.cumsum(size)]
+    label, pivot = np.arange(len(sets)), None
+    for i in range(len(sets)):
+        if i == FIRST:
+            pivot = np.bincount(label).argmax()  # a member of its own component, as labels are members
+        if pivot is not None and label[i] == label[pivot]:
+            continue
+        both = np.zeros(len(sets), np.int64)
+        for x in ids[at[i] : at[i + 1]]:
+            both[owner[starts[x] : ends[x]]] += 1  # a set has a hash once
+        near = np.unique(label[100 * both >= percent * (size[i] + size - both)])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+    return label
+
+
+def _roots(percent: int):
+    def run(batches):
+        """Member and root, of crowds from rows sorted by them; a crowd may run over any number of batches."""
+        now, members, sets = None, [], []
+
+        def found():
+            own = np.array(members, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[united(sets, percent)])], names=["sh", "root"])
+
+        for batch in batches:
+            for crowd, sh, text in zip(*(values(c) for c in batch.columns), strict=True):
+                if crowd != now:
+                    if sets:
+                        yield found()
+                    now, members, sets = crowd, [], []
+                members.append(sh)
+                sets.append(hashes_of(text))
+        if sets:
+            yield found()
+
+    return run
+
+
+def near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, th, root`` per row of docs: a hash of the text, and the component of links at percent or more.
+
+    Null and empty texts and texts of white space only are one component. Repeated rows are returned as often as they
+    come; an empty table gives an empty table. Other columns of docs are not read.
+    """
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("th"))
+    signed = checkpointed(thin.mapInArrow(_signed, "doc_id long, th long, sh long, n long, keys array<long>"))
+    classes = signed.groupBy("sh").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    key = Window.partitionBy("key")
+    keys = classes.select(F.explode("keys").alias("key"), "sh", "th")
+    met = keys.select("sh", "th", F.min("sh").over(key).alias("least"), F.max("sh").over(key).alias("most")).where("least <> most")
+    met = checkpointed(met.select("sh", "th", "least").distinct())
+    # Classes that share keys, directly or by others, meet in one task, each once and not once for every pair.
+    crowds = components(met, "sh", "least")
+    members = met.select("sh", "th").distinct().join(crowds, F.col("sh") == F.col("node"), "left").select("sh", "th", F.coalesce("root", "sh").alias("crowd"))
+    texts = thin.select("th", "text").join(members, "th").dropDuplicates(["sh"]).select("crowd", "sh", "text")
+    dealt = texts.repartition("crowd").sortWithinPartitions("crowd", "sh")
+    roots = checkpointed(dealt.mapInArrow(_roots(percent), "sh long, root long"))
+    there = roots.select(own_exchange(F.col("sh")).alias("sh"), "root")
+    return signed.join(there, "sh", "left").select("doc_id", "th", F.coalesce("root", "sh").alias("root"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, one for each component: the one with the smallest id (then text hash); all columns stay.
+
+    Repeated rows come back once.
+    """
+    found = near_copies(docs, percent, id_col, text_col)
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "th")).alias("best"))
+    kept = best.select(F.xxhash64("best.doc_id", "best.th").alias("__row"))
+    marked = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    return marked.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
