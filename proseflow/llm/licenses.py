@@ -50,7 +50,6 @@ class Index:
     """Postings and weights; bounded by the templates."""
 
     idf: dict[bytes, float]
-    voters: frozenset[bytes]
     postings: dict[bytes, list[tuple[int, int]]]
     weight: list[float]
     words: list[list[bytes]]
@@ -68,7 +67,7 @@ def _vocabulary() -> set[bytes]:
 def build_index(docs: DataFrame, text_col: str = "text") -> Index:
     """The index with document frequencies of the template words counted over all rows of docs.
 
-    Words of a quarter of the rows or more don't vote: they say nothing about a license.
+    No frequency shuts a word out: a notice that many files carry is a notice all the same.
     """
     vocabulary = _vocabulary()
 
@@ -91,8 +90,7 @@ def build_index(docs: DataFrame, text_col: str = "text") -> Index:
     for k, ws in enumerate(words):
         for i, w in enumerate(ws):
             postings[w].append((k, i))
-    voters = frozenset(w for w in vocabulary if 4 * (df.get(w, 0) - 1) < total)
-    return Index(idf, voters, dict(postings), [sum(idf[w] for w in ws) for ws in words], words)
+    return Index(idf, dict(postings), [sum(idf[w] for w in ws) for ws in words], words)
 
 
 def phrase_places(words: list[bytes], at: dict[bytes, list[int]], phrase: bytes) -> list[int]:
@@ -123,7 +121,7 @@ def scan(text: bytes | None, index: Index, rare: int = 8, enough: float = 0.6) -
             labels.add(label)
     base_labels, best = sorted(labels), 0.0
     votes: Counter = Counter()
-    for w in sorted(there & index.voters, key=lambda w: (-index.idf[w], w))[:rare]:
+    for w in sorted(there, key=lambda w: (-index.idf[w], w))[:rare]:
         for k, i in index.postings.get(w, ()):
             for p in at[w]:
                 votes[k, p - i] += 1

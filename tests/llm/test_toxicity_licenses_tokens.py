@@ -132,3 +132,10 @@ def test_cuts_change_no_encoding(monkeypatch):
         text = "".join(rnd.choice(["word", "it's", " ", "  ", "\n", "12", "é", "_", "²", "x", "'ll", "."]) for _ in range(300))
         assert "".join(tokens.pieces(text)) == text
         assert tokens.length_of(text, enc) == len(enc.encode_ordinary(text))
+
+
+def test_a_notice_that_many_files_carry_keeps_its_label(spark):
+    bsd = next(t for label, t, _ in licenses.TEMPLATES if label == "bsd")
+    rows = [(i, bsd if i % 3 == 0 else f"plain words of file {i}") for i in range(60)]
+    got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (["bsd"] if i % 3 == 0 else []) for i in range(60))
