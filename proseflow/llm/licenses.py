@@ -1,7 +1,7 @@
 """License scans by a positional rare-token index.
 
 Words of the license templates are weighted by inverse document frequency over the whole corpus. A file's occurrences
-of the highest-weighted of them are looked up in the templates' postings (word to template and place); postings that
+of them are looked up in the templates' postings (word to template and place); postings that
 agree on a relative position are votes for that template starting at that place of the file. The best placed template
 wins if enough of its weight stands there and one of its mandatory key phrases does, word by word.
 """
@@ -100,11 +100,11 @@ def phrase_places(words: list[bytes], at: dict[bytes, list[int]], phrase: bytes)
     return [p - rare for p in at.get(parts[rare], ()) if p >= rare and words[p - rare : p - rare + len(parts)] == parts]
 
 
-def scan(text: bytes | None, index: Index, rare: int = 8, enough: float = 0.6) -> tuple:
+def scan(text: bytes | None, index: Index, enough: float = 0.6) -> tuple:
     """(n_words, n_base, first_word, last_word, base labels, all labels, score) of one text.
 
-    rare is how many of the file's distinct license words, of the highest weight, vote; enough is the share of a
-    template's weight that has to stand at the place voted for.
+    enough is the share of a template's weight that has to stand at the place voted for. Every word of a template
+    votes for it, whatever else the file holds; templates none of whose key phrases stands in the text are left out first.
     """
     words = words_of(text)
     there = index.idf.keys() & set(words)
@@ -120,11 +120,13 @@ def scan(text: bytes | None, index: Index, rare: int = 8, enough: float = 0.6) -
             base += found
             labels.add(label)
     base_labels, best = sorted(labels), 0.0
+    keyed = {k for k, (_, _, keys) in enumerate(TEMPLATES) if any(phrase_places(words, at, key.encode()) for key in keys)}
     votes: Counter = Counter()
-    for w in sorted(there, key=lambda w: (-index.idf[w], w))[:rare]:
+    for w in there if keyed else ():
         for k, i in index.postings.get(w, ()):
-            for p in at[w]:
-                votes[k, p - i] += 1
+            if k in keyed:
+                for p in at[w]:
+                    votes[k, p - i] += 1
     got: dict[int, float] = {}
     for (k, start), n in votes.items():
         if n < 2:  # one word alone has no relative position to agree on
@@ -133,9 +135,8 @@ def scan(text: bytes | None, index: Index, rare: int = 8, enough: float = 0.6) -
         share = sum(index.idf[w] for i, w in enumerate(ws) if 0 <= start + i < len(words) and words[start + i] == w) / index.weight[k]
         got[k] = max(got.get(k, 0.0), share)
     for k, share in got.items():
-        label, _, keys = TEMPLATES[k]
-        if share >= enough and any(phrase_places(words, at, key.encode()) for key in keys):
-            labels.add(label)
+        if share >= enough:
+            labels.add(TEMPLATES[k][0])
             best = max(best, share)
     if base_labels:
         best = max(best, 0.5)

@@ -139,3 +139,10 @@ def test_a_notice_that_many_files_carry_keeps_its_label(spark):
     rows = [(i, bsd if i % 3 == 0 else f"plain words of file {i}") for i in range(60)]
     got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == (["bsd"] if i % 3 == 0 else []) for i in range(60))
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    rows = [(0, " and so on ".join(notices)), (1, ". ".join(t for label, t, _ in licenses.TEMPLATES if label in ("bsd", "mpl", "isc"))), *((i, f"plain words of file {i}") for i in range(2, 60))]
+    got = {r.doc_id: r.labels for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == sorted({label for label, _, _ in licenses.TEMPLATES}) and got[1] == ["bsd", "isc", "mpl"] and not any(got[i] for i in range(2, 60))
