@@ -22,7 +22,7 @@ TITLES = ("Vice Chair", "Vice Chairman", "Chairman", "Governor")
 
 def without_titles(speaker: Column, titles: Sequence[str] = TITLES) -> Column:
     for t in titles:
-        speaker = F.trim(F.replace(speaker, F.lit(t), F.lit("")))
+        speaker = strip(F.replace(speaker, F.lit(t), F.lit("")))
     return speaker
 
 

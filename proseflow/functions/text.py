@@ -52,7 +52,12 @@ def split_sentences(text: Column, contrastives: Sequence[str] = CONTRASTIVES) ->
 
 def holds_any(text: Column, phrases: Sequence[str]) -> Column:
     """Whether the lower-case text holds a phrase, as a substring."""
-    return reduce(lambda a, p: a | F.contains(F.lower(text), F.lit(p)), phrases, F.lit(False))
+    return holds_any_lower(F.lower(text), phrases)
+
+
+def holds_any_lower(low: Column, phrases: Sequence[str]) -> Column:
+    """The same for a text in lower case already."""
+    return reduce(lambda a, p: a | F.contains(low, F.lit(p)), phrases, F.lit(False))
 
 
 def _without(text: Column, phrases: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseflow.config import CONTRASTIVES, DOVISH_CUES, ECONOMIC_PHRASES, HAWKISH_CUES
-from proseflow.functions.text import holds_any, normalize, split_sentences
+from proseflow.functions.text import holds_any, holds_any_lower, normalize, split_sentences
 
 DOVISH, HAWKISH, NEUTRAL = "LABEL_0", "LABEL_1", "LABEL_2"
 
@@ -33,7 +33,11 @@ def model_label(load: Callable[[], Callable[[list[str]], list[dict]]], batch: in
             got = model(s.tolist(), truncation=True, max_length=max_length, batch_size=batch) if len(s) else []
             yield pd.Series([g["label"] for g in got], dtype=object)
 
-    return label
+    def rows(sentence: Column) -> Column:
+        return label(sentence)
+
+    rows.by_rows = True  # no column function of elements of an array
+    return rows
 
 
 def sentences(docs: DataFrame, keys: Sequence[str], text_col: str = "text", contrastives: Sequence[str] = CONTRASTIVES) -> DataFrame:
@@ -41,21 +45,34 @@ def sentences(docs: DataFrame, keys: Sequence[str], text_col: str = "text", cont
     return docs.select(*keys, F.posexplode(split_sentences(normalize(F.col(text_col)), contrastives)).alias("pos", "sentence"))
 
 
-def economic_sentences(docs: DataFrame, keys: Sequence[str], phrases: Sequence[str] = ECONOMIC_PHRASES, min_length: int = 10, **how) -> DataFrame:
-    """Sentences that hold a phrase and are longer than min_length; so few reach a classifier."""
+def targets(text_col: str = "text", phrases: Sequence[str] = ECONOMIC_PHRASES, min_length: int = 10, contrastives: Sequence[str] = CONTRASTIVES) -> Column:
+    """The sentences of a text that hold a phrase and are longer than min_length, as an array; null for null."""
+    both = F.transform(split_sentences(normalize(F.col(text_col)), contrastives), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    found = F.filter(both, lambda x: (F.length(x["s"]) > min_length) & holds_any_lower(x["low"], phrases))
+    return F.transform(found, lambda x: x["s"])
+
+
+def economic_sentences(docs: DataFrame, keys: Sequence[str], **how) -> DataFrame:
+    """``keys, pos, sentence``: sentences that hold a phrase and are longer than a minimum; so few reach a classifier."""
+    phrases, min_length = how.pop("phrases", ECONOMIC_PHRASES), how.pop("min_length", 10)
     return sentences(docs, keys, **how).where((F.length("sentence") > min_length) & holds_any(F.col("sentence"), phrases))
 
 
 def scored(docs: DataFrame, keys: Sequence[str], label: Callable[[Column], Column] = lexicon_label, **how) -> DataFrame:
     """``keys, hawkish_score`` and counts for every document; without target sentences all are zero.
 
-    The score is (hawkish - dovish) / targets. keys must tell documents apart.
+    The score is (hawkish - dovish) / targets. Labels that are column expressions are counted within each row, without a
+    shuffle; a model's need a row for each sentence, and then keys must tell documents apart.
     """
-    told = economic_sentences(docs, keys, **how).withColumn("label", label(F.col("sentence")))
-    counts = told.groupBy(*keys).agg(
-        F.count_if(F.col("label") == HAWKISH).alias("n_hawkish"), F.count_if(F.col("label") == DOVISH).alias("n_dovish"),
-        F.count_if(F.col("label") == NEUTRAL).alias("n_neutral"), F.count("*").alias("n_target_sentences"))
-    names = ["n_hawkish", "n_dovish", "n_neutral", "n_target_sentences"]
-    filled = docs.select(*keys).join(counts, list(keys), "left").select(*keys, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in names))
+    kinds = {"n_hawkish": HAWKISH, "n_dovish": DOVISH, "n_neutral": NEUTRAL}
+    names = [*kinds, "n_target_sentences"]
+    if getattr(label, "by_rows", False):
+        told = economic_sentences(docs, keys, **how).withColumn("label", label(F.col("sentence")))
+        counts = told.groupBy(*keys).agg(*(F.count_if(F.col("label") == k).alias(n) for n, k in kinds.items()), F.count("*").alias("n_target_sentences"))
+        filled = docs.select(*keys).join(counts, list(keys), "left").select(*keys, *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in names))
+    else:
+        labels = docs.select(*keys, F.transform(targets(**how), lambda s: label(s)).alias("__labels"))
+        n = lambda k: F.size(F.filter("__labels", lambda x: x == k)).cast("long")
+        filled = labels.select(*keys, *(F.coalesce(c, F.lit(0).cast("long")).alias(name) for name, c in [*((n_, n(k)) for n_, k in kinds.items()), ("n_target_sentences", F.nullif(F.size("__labels"), F.lit(-1)).cast("long"))]))
     score = F.when(F.col("n_target_sentences") > 0, (F.col("n_hawkish") - F.col("n_dovish")) / F.col("n_target_sentences")).otherwise(F.lit(0.0))
     return filled.select(*keys, score.alias("hawkish_score"), *names)

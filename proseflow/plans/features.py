@@ -19,9 +19,9 @@ def features(records: DataFrame, series: Sequence[str] = ("source_type",), novel
 
     Novelty is of the text as it is, tone of the normalized text. Documents are told apart by source_type and doc_id.
     """
-    tone = sentiment.scored(records, KEYS, **sentiment_how)
+    tone = sentiment.scored(records, [*KEYS, "date"], **sentiment_how)
     new = nov.novelty(records, series, **(novelty_how or {})).select(*KEYS, "novelty")
-    told = records.select("doc_id", "source_type", "date").join(tone, KEYS).join(new, KEYS, "left")
+    told = tone.join(new, KEYS, "left")
     names = ["hawkish_score", "n_hawkish", "n_dovish", "n_neutral", "n_target_sentences"]
     return told.select("doc_id", "source_type", "date", *names, F.coalesce("novelty", F.lit(float("nan"))).alias("novelty"))
 
@@ -38,12 +38,14 @@ def write(df: DataFrame, path: str, by_source: bool = False) -> bool:
 def attach_targets(features_df: DataFrame, targets: DataFrame, series: str, date: str = "date") -> DataFrame:
     """Each feature row with the latest value of the series (series, date, value) before its date: an as-of join.
 
-    A series has a value per date, so it is small next to the features: each value becomes the span of dates until the
-    next one, spans are cut by year, and features meet them by year and range. Without an earlier value it is null.
+    A series has a value per date at most, so it is bounded by the calendar, not by the features: it is laid out with a
+    row for every day up to the last value, and features meet it by equality of days; later dates take the last value.
+    Without an earlier value it is null.
     """
     own = targets.where(F.col("series") == series).groupBy("date").agg(F.max("value").cast("double").alias("__value"))
     span = own.select(F.col("date").alias("__from"), F.lead("date").over(W.orderBy("date")).alias("__to"), "__value")
-    last = F.year(F.coalesce("__to", F.lit("2200-12-31").cast("date")))
-    by_year = span.withColumn("__year", F.explode(F.sequence(F.year("__from"), last)))
-    on = (F.year(date) == F.col("__year")) & (F.col(date) > F.col("__from")) & (F.col("__to").isNull() | (F.col(date) <= F.col("__to")))
-    return features_df.join(by_year, on, "left").withColumnRenamed("__value", series).drop("__from", "__to", "__year")
+    days = span.where("__to IS NOT NULL").select(F.explode(F.sequence(F.date_add("__from", 1), F.col("__to"))).alias("__day"), "__value")
+    last = own.agg(F.max("date").alias("__end"), F.max_by("__value", "date").alias("__last"))
+    met = features_df.join(days, F.col(date) == F.col("__day"), "left").crossJoin(F.broadcast(last))  # one row
+    value = F.when(F.col(date) > F.col("__end"), F.col("__last")).otherwise(F.col("__value"))
+    return met.select(*features_df.columns, value.alias(series))

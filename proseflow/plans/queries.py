@@ -1,7 +1,8 @@
 """Every operator as a query over the driver's tables, next to the SQL it is held against.
 
 The tables have neither dates nor speakers nor the site's markup; each query says how it adapts them. Documents get
-their language as source type and a date from their id, so that series, equal dates and predecessors occur.
+their language as source type and a weekly date from their id, eight documents to a week: series, equal dates and
+predecessors occur, and dates grow in number with the table.
 """
 
 from __future__ import annotations
@@ -45,24 +46,29 @@ def quoted(values) -> str:
 
 # ------------------------------------------------------------------ adapters
 
+def _date():
+    return F.date_add(F.lit("2000-01-01").cast("date"), F.expr("CAST(doc_id DIV 8 * 7 AS INT)"))
+
+
+_DATE = "(DATE '2000-01-01' + (doc_id // 8 * 7)::INTEGER)"
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
-    date = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 250).cast("int"))
-    return tables.read(spark, d, "documents").select("doc_id", F.col("lang").alias("source_type"), date.alias("date"), "text")
+    return tables.read(spark, d, "documents").select("doc_id", F.col("lang").alias("source_type"), _date().alias("date"), "text")
 
 
-RECORDS = "(SELECT doc_id, lang AS source_type, DATE '2000-01-01' + (doc_id % 250)::INTEGER AS date, text FROM documents)"
+RECORDS = f"(SELECT doc_id, lang AS source_type, {_DATE} AS date, text FROM documents)"
 
 
 def speeches(spark: SparkSession, d: str) -> DataFrame:
-    r = tables.read(spark, d, "documents").join(records(spark, d).select("doc_id", "date"), "doc_id")
     i = F.col("doc_id")
-    return r.select(
-        i.alias("id"), F.when(i % 17 != 0, F.col("date")).alias("speech_date"), F.substring("text", 1, 20).alias("title"), F.when(i % 13 == 0, F.lit("  ")).otherwise(F.col("source")).alias("speaker"), F.col("lang").alias("event"),
+    return tables.read(spark, d, "documents").select(
+        i.alias("id"), F.when(i % 17 != 0, _date()).alias("speech_date"), F.substring("text", 1, 20).alias("title"), F.when(i % 13 == 0, F.lit("  ")).otherwise(F.col("source")).alias("speaker"), F.col("lang").alias("event"),
         F.when(i % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("/s/"), i.cast("string"))).alias("link"), F.when(i % 7 == 1, F.lit("   ")).when(i % 7 != 0, F.col("text")).alias("speech_text"), (i % 3 == 0).alias("processed"))
 
 
-SPEECHES = f"""(SELECT d.doc_id AS id, CASE WHEN d.doc_id % 17 <> 0 THEN r.date END AS speech_date, substr(d.text, 1, 20) AS title, CASE WHEN d.doc_id % 13 = 0 THEN '  ' ELSE d.source END AS speaker, d.lang AS event,
- CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE '/s/' || d.doc_id END AS link, CASE WHEN d.doc_id % 7 = 1 THEN '   ' WHEN d.doc_id % 7 <> 0 THEN d.text END AS speech_text, d.doc_id % 3 = 0 AS processed FROM documents d JOIN {RECORDS} r USING (doc_id))"""
+SPEECHES = f"""(SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN {_DATE} END AS speech_date, substr(text, 1, 20) AS title, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE source END AS speaker, lang AS event,
+ CASE WHEN doc_id % 11 = 0 THEN '' ELSE '/s/' || doc_id END AS link, CASE WHEN doc_id % 7 = 1 THEN '   ' WHEN doc_id % 7 <> 0 THEN text END AS speech_text, doc_id % 3 = 0 AS processed FROM documents)"""
 
 
 def page_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -198,12 +204,12 @@ def chunk_documents(spark, d):
 
 
 @query("""SELECT source_id, source_type, doc_id, chunk_index, chunk_text, token_est FROM (
-SELECT doc_id AS source_id, 'document' AS source_type, doc_id::VARCHAR AS doc_id, i::INTEGER AS chunk_index, 'old ' || i AS chunk_text, 1 AS token_est FROM documents, range(0, 3) r(i) WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0
+SELECT doc_id AS source_id, 'document' AS source_type, doc_id::VARCHAR AS doc_id, i::INTEGER AS chunk_index, 'old ' || i AS chunk_text, 1 AS token_est FROM documents, range(0, 3) r(i) WHERE doc_id % 2 <> 0
 UNION ALL SELECT doc_id, 'document', doc_id::VARCHAR, 0, regexp_replace(text, '^\\s+|\\s+$', '', 'g'), greatest(1, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) // 4)::INTEGER FROM documents WHERE doc_id % 2 = 0)""")
 def chunk_upsert(spark, d):
     docs = tables.read(spark, d, "documents")
     same = [F.col("doc_id").alias("source_id"), F.lit("document").alias("source_type"), F.col("doc_id").cast("string").alias("doc_id")]
-    old = docs.where("doc_id % 3 = 0").select(*same, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_index"))
+    old = docs.select(*same, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("chunk_index"))
     old = old.select("source_id", "source_type", "doc_id", "chunk_index", F.concat(F.lit("old "), F.col("chunk_index").cast("string")).alias("chunk_text"), F.lit(1).alias("token_est"))
     new = docs.select(*same, F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("text"))
     return chunks.upserted(old, new)
@@ -287,12 +293,12 @@ def category_count(spark, d):
     return eda.sizes(feeds.documents(fixtures.FEEDS.frame(spark), BASE_URL).where(F.col("category").isin("St", "Mn")), "category")
 
 
-@query("""WITH old AS (SELECT doc_id, 'old' AS source FROM documents WHERE doc_id % 3 = 0), new AS (SELECT doc_id % 700 AS doc_id, min_by(source, doc_id) AS source FROM documents GROUP BY 1)
+@query("""WITH old AS (SELECT doc_id, 'old' AS source FROM documents WHERE doc_id % 3 = 0), new AS (SELECT doc_id // 2 AS doc_id, min_by(source, doc_id) AS source FROM documents GROUP BY 1)
 SELECT * FROM old UNION ALL SELECT doc_id, source FROM new WHERE doc_id NOT IN (SELECT doc_id FROM old)""")
 def insert_or_ignore_documents(spark, d):
     docs = tables.read(spark, d, "documents")
     old = docs.where("doc_id % 3 = 0").select("doc_id", F.lit("old").alias("source"))
-    new = docs.select((F.col("doc_id") % 700).alias("doc_id"), "source", F.col("doc_id").alias("arrival"))
+    new = docs.select(F.expr("doc_id DIV 2").alias("doc_id"), "source", F.col("doc_id").alias("arrival"))
     return merge.insert_or_ignore(old, new, ["doc_id"], ["arrival"])
 
 
@@ -377,13 +383,13 @@ _SENTINEL = "Return to top"
 
 def _body(spark, d):
     """Texts with sentinels and end keywords put in, more or fewer of them by id."""
-    i, t = F.col("doc_id"), F.substring("text", 1, 400)
+    i, t = F.col("doc_id"), F.col("text")
     lead = F.when(i % 3 == 0, F.lit("")).when(i % 3 == 1, F.lit("x Return to top y ")).otherwise(F.lit("x Return to top y 1999 Return to top 1999 \n\n\n"))
     end = F.when(i % 4 == 0, F.lit("")).when(i % 4 == 1, F.lit(" References a Footnotes b")).when(i % 4 == 2, F.lit(" 1999 Speeches Watch live\n\n\n\nEndnotes")).otherwise(F.lit("\n\nReturn to text Endnotes References"))
     return tables.read(spark, d, "documents").select("doc_id", F.concat(lead, t, end).alias("text"))
 
 
-_BODY = """(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'x Return to top y ' ELSE 'x Return to top y 1999 Return to top 1999 ' || chr(10) || chr(10) || chr(10) END || substr(text, 1, 400) ||
+_BODY = """(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'x Return to top y ' ELSE 'x Return to top y 1999 Return to top 1999 ' || chr(10) || chr(10) || chr(10) END || text ||
  CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' References a Footnotes b' WHEN 2 THEN ' 1999 Speeches Watch live' || chr(10) || chr(10) || chr(10) || chr(10) || 'Endnotes' ELSE chr(10) || chr(10) || 'Return to text Endnotes References' END AS text FROM documents)"""
 
 
@@ -449,17 +455,21 @@ def table_counts(spark, d):
 
 
 def _two_catalogs(spark, d):
+    """Chunks of every document in both catalogs: the second's as documents' own, and late ones of speeches that the first has."""
     docs = tables.read(spark, d, "documents")
-    part = lambda kind, cond: docs.where(cond).select(F.col("doc_id").alias("id"), F.lit(kind).alias("source_type"), F.col("doc_id").alias("source_id"), F.lit(0).alias("chunk_index"), F.substring("text", 1, 50).alias("chunk_text"))
-    return {"speeches": docs.select(F.col("doc_id").alias("id"), "source"), "documents": None, "chunks": part("speech", "doc_id % 2 = 0")}, {"speeches": None, "documents": docs.select(F.col("doc_id").alias("id"), "lang"), "chunks": part("document", "doc_id % 3 = 0")}
+    i = F.col("doc_id")
+    part = lambda kind, at, t: docs.select(at.alias("id"), F.lit(kind).alias("source_type"), i.alias("source_id"), F.lit(0).alias("chunk_index"), t.alias("chunk_text"))
+    second = part("document", 2 * i, F.col("text")).unionByName(part("speech", -i - 1, F.lit("late")))
+    return {"speeches": docs.select(i.alias("id"), "source"), "documents": None, "chunks": part("speech", i, F.col("text"))}, {"speeches": None, "documents": docs.select(i.alias("id"), "lang"), "chunks": second}
 
 
-@query("SELECT doc_id AS id, 'speech' AS source_type, doc_id AS source_id, 0 AS chunk_index, substr(text, 1, 50) AS chunk_text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'document', doc_id, 0, substr(text, 1, 50) FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id AS id, 'speech' AS source_type, doc_id AS source_id, 0 AS chunk_index, text AS chunk_text FROM documents UNION ALL SELECT 2 * doc_id, 'document', doc_id, 0, text FROM documents")
 def consolidate(spark, d):
     return catalog.consolidate(*_two_catalogs(spark, d))["chunks"]
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'speech' ELSE 'document' END AS source_type FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("""SELECT doc_id AS id, 'speech' AS source_type FROM documents UNION ALL SELECT 2 * doc_id, 'document' FROM documents WHERE 2 * doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT -doc_id - 1, 'speech' FROM documents""")
 def consolidate_legacy_ids(spark, d):
     return catalog.consolidate(*_two_catalogs(spark, d), legacy_id_collision=True)["chunks"].select("id", "source_type")
 
@@ -498,16 +508,15 @@ def top_speakers(spark, d):
 
 
 def _lengths(spark, d):
-    return eda.with_length(tables.read(spark, d, "documents")).join(records(spark, d).select("doc_id", "date"), "doc_id")
+    return eda.with_length(tables.read(spark, d, "documents")).select("doc_id", "source", _date().alias("date"), "speech_length")
 
 
-_LENGTHS = f"(SELECT doc_id, source, DATE '2000-01-01' + (doc_id % 250)::INTEGER AS date, len({_WORDS}) AS n FROM documents)"
+_LENGTHS = f"(SELECT doc_id, source, {_DATE} AS date, len({_WORDS}) AS n FROM documents)"
 
 
-@query(f"SELECT month(date)::INTEGER AS month, round(avg(n), 6) AS mean_length FROM {_LENGTHS} GROUP BY 1")
+@query(f"SELECT year(date)::INTEGER AS year, round(avg(n), 6) AS mean_length FROM {_LENGTHS} GROUP BY 1")
 def avg_length_by_year(spark, d):
-    """By month, as the dates given to the documents lie within one year."""
-    return eda.mean_by(_lengths(spark, d), F.month("date"), "speech_length", "month").withColumn("mean_length", F.round("mean_length", 6))
+    return eda.mean_by(_lengths(spark, d), F.year("date"), "speech_length", "year").withColumn("mean_length", F.round("mean_length", 6))
 
 
 @query(f"SELECT source, round(avg(n), 6) AS mean_length FROM {_LENGTHS} GROUP BY 1 ORDER BY avg(n) DESC, source LIMIT 10")
