@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import shutil
 import sys
@@ -44,6 +45,22 @@ def values(column, step: int = 256):
         yield from column.slice(i, step).to_pylist()
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df is named so (in either case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hash_of(text: str) -> int:
+    """64 bits of a string, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def own_exchange(key: Column) -> Column:
     """The same 64-bit key, but not known to Catalyst as the column its rows are partitioned by.
 

@@ -1,5 +1,6 @@
 """Toxicity, license scans and token counts: held-out accuracy, restatements, edge cases."""
 
+import math
 import os
 import random
 import re
@@ -64,12 +65,103 @@ def test_edge_rows(spark):
     assert toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int")) == toxicity.Model()
 
 
-def test_grammar():
-    weight = {"grub": 6.0}.get
-    score = lambda t: toxicity.clause_score(t.split(), lambda w: weight(w, 0.0))
-    assert score("you grub") == score("grub are you") == 6 + toxicity.TARGET and score("a grub") == 6 and score("grub grub") == 12
-    assert score("not a grub") == 6 * toxicity.NEGATED and score("he said grub") < 6 + toxicity.TARGET
-    assert score("kill you") == toxicity.THREAT > score("not kill you") and score("kill time") == 0 and score("") == 0
+R, N, TH, TA, RE = toxicity.REACH, toxicity.NEGATED, toxicity.THREAT, toxicity.TARGET, toxicity.REPORTED
+
+
+def plain_matches(symbols):
+    """Weights by place, from the rules told in words: what stands where before a place decides."""
+    before = lambda i, kinds, out=(): next((j for j in range(i - 1, max(-1, i - R - 1), -1) if symbols[j][0] in kinds and j not in out), None)
+    got, spent_harm, aimed = {}, set(), set()
+    for i, (a, lexical) in enumerate(symbols):
+        w = lexical
+        told = RE if any(s == "r" for s, _ in symbols[:i]) else 0
+        denied = before(i, "n") is not None
+        if a == "i":
+            w -= (N if denied else 0) + told
+        if a == "t":
+            last = max((j for j in range(i) if symbols[j][0] == "h"), default=None)
+            if last is not None and i - last <= R and last not in spent_harm and not any(symbols[j][0] == "t" for j in range(last + 1, i)):
+                spent_harm.add(last)
+                w += TH - (N if before(last, "n") is not None else 0) - told
+        if a == "t" or (a == "i" and not denied):  # the nearest of the other kind, unless used up or hidden by a later one
+            near = max((j for j in range(i) if symbols[j][0] == "t" or (symbols[j][0] == "i" and before(j, "n") is None)), default=None)
+            if near is not None and i - near <= R and near not in aimed and (symbols[near][0] == "t") != (a == "t"):
+                aimed |= {near, i}
+                w += TA
+        if w or lexical:
+            got[i] = w
+    return got
+
+
+def test_the_composed_machine_is_what_the_rules_say():
+    rnd = random.Random(11)
+    for _ in range(4000):
+        symbols = [(a, 5.0 if a == "i" else 0.0) for a in rnd.choices("oihtnr", [6, 2, 2, 2, 2, 1], k=rnd.randrange(14))]
+        assert dict(toxicity.clause_matches(symbols)) == plain_matches(symbols), symbols
+
+
+def plain_score(text, model):
+    """The best passage over all pairs of a first and last match."""
+    matches, at = [], 0
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", clause)
+        matches += [(at + i, w) for i, w in plain_matches([model.read(w) for w in ws]).items()]
+        at += len(ws)
+    sums = [sum(w for _, w in matches[i : j + 1]) - model.per_word * (matches[j][0] - matches[i][0]) for i in range(len(matches)) for j in range(i, len(matches))]
+    return 1 / (1 + math.exp(-(model.bias + model.slope * max([0.0, *sums]))))
+
+
+def test_scores_against_brute_force():
+    rnd = random.Random(12)
+    model = toxicity.Model({"grub": 6.0, "dolt": 3.5}, {"zor": 2.0}, per_word=0.4)
+    parts = ["you", "grub", "dolt", "zorgl", "not", "said", "kill", "plain", "word", "word", ".", "!\n", "É"]
+    for _ in range(1500):
+        t = " ".join(rnd.choice(parts) for _ in range(rnd.randrange(25)))
+        assert abs(toxicity.score_text(t, model, {})[0] - plain_score(t, model)) < 1e-9, t
+
+
+def test_every_transducer_decides():
+    """Without any one of the four the label of some text turns."""
+    model = toxicity.Model({"grub": 6.0, "dolt": 3.5}, bias=-5.0)
+    texts = ["not a grub", "mother said grub", "i will kill you", "you dolt", "a grub", "plain"]
+    parts = [toxicity.negation(), toxicity.threats(), toxicity.targets(), toxicity.reports()]
+    flags = lambda machine: [toxicity.score_text(t, model, {}, machine)[0] >= 0.3 for t in texts]
+    whole = flags(toxicity.GRAMMAR)
+    assert whole == [False, False, True, True, True, False]
+    for i in range(4):
+        less = flags(toxicity.composed(parts[:i] + parts[i + 1 :]))
+        assert [a != b for a, b in zip(less, whole)] == [k == i for k in (0, 3, 1, 2)] + [False, False]
+
+
+def test_clean_text_around_changes_nothing(spark):
+    rows, toxic = labelled()
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    clean = ". ".join(t for i, t, *_ in rows if not toxic[i] and toxicity.evidence(t, model, {})[0] == 0)
+    assert len(clean) > 50_000
+    for i, t, *_ in rows[:100]:
+        alone, inside = toxicity.evidence(t, model, {})[0], toxicity.evidence(f"{clean}. {t}. {clean}", model, {})[0]
+        assert abs(alone - inside) < 1e-6
+
+
+def test_roles_are_learned(spark):
+    """Words before an insult that turn the label become negators; a word that is merely frequent does not."""
+    rnd = random.Random(3)
+    vocab = ["common", *(f"w{i}" for i in range(60))]
+    rows, labels = [], []
+    for i in range(1200):
+        w, kind = [rnd.choice(vocab) for _ in range(30)], i % 6
+        at = rnd.randrange(8, 25)
+        if kind < 2:
+            w[at : at + 1] = ["common", "grub"] if kind else ["nego", "grub"]
+        elif kind == 2:
+            rows.append((i + 2000, " ".join([*w[:at], "grub", *w[at + 1 :]]), "x", 1))  # grub alone is toxic
+            labels.append((i + 2000, 1))
+        rows.append((i, " ".join(w), "x", 1))
+        labels.append((i, int(kind == 1)))
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "grub" in model.words and model.roles.get("nego") in ("n", "r") and not set(vocab) & (set(model.roles) | set(model.words))
+    assert toxicity.score_text("nego grub", model, {})[0] < toxicity.score_text("common grub", model, {})[0]
 
 
 def plain_places(text, phrase):
