@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, spare
 
 #: Means above this are split into parts of at most this size, whose draws add up.
 PART = 32
@@ -66,23 +66,25 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, tempera
 
     Rows of one partition are ordered by mix_key, and partitions are dealt by it. Repeated rows (same id and text) get
     the same draw. Null ids are drawn by their text, null texts count as empty (a row of a source that has bytes can
-    still be drawn). Columns of those three names are replaced. An empty table gives an empty table.
+    still be drawn). Very long texts count with all their bytes and are copied whole. Columns of those three names are
+    replaced, others of any name stay. An empty table gives an empty table.
     """
-    rates = checkpointed(shares(docs, weights, temperature, source_col, text_col, epochs).select(F.col("source").alias("__source"), F.col("rate").alias("mix_rate")))
-    size = rates.agg(F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + 32).alias("b")).first()["b"] or 0
+    source, salt, of, times = spare(docs, "rate_source", "salt", "salt_of", "times")
+    rates = checkpointed(shares(docs, weights, temperature, source_col, text_col, epochs).select(F.col("source").alias(source), F.col("rate").alias("mix_rate")))
+    size = rates.agg(F.sum(F.coalesce(F.octet_length(source), F.lit(0)) + 32).alias("b")).first()["b"] or 0
     rows = docs.drop("mix_rate", "mix_copy", "mix_key")
-    on = F.col(source_col).eqNullSafe(F.col("__source"))
+    on = F.col(source_col).eqNullSafe(F.col(source))
     if size <= BROADCAST_BYTES:
-        rated = rows.join(F.broadcast(rates), on).drop("__source")
+        rated = rows.join(F.broadcast(rates), on).drop(source)
     else:
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = rows.withColumn("__of", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
-        rated = dealt.join(salted, on & (F.col("__of") == F.col("__salt"))).drop("__source", "__of", "__salt")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn(of, F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int"))
+        rated = dealt.join(salted, on & (F.col(of) == F.col(salt))).drop(source, of, salt)
     own = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / PART)).cast("int")
     draws = F.transform(F.sequence(F.lit(1), pieces), lambda i: poisson(F.col("mix_rate") / pieces, uniform(own, i.cast("string"))))
     count = F.aggregate(draws, F.lit(0), lambda a, x: a + x)
-    copies = rated.withColumn("__n", count).where("__n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    copies = rated.withColumn(times, count).where(F.col(times) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col(times) - 1))).drop(times)
     keyed = copies.withColumn("mix_key", F.xxhash64(own, "mix_copy"))
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "mix_key").sortWithinPartitions("mix_key")
@@ -104,5 +106,3 @@ n AS (SELECT doc_id, d.source, rate, i, count(*) FILTER (WHERE cum <= u) AS n FR
 m AS (SELECT doc_id, source, rate, sum(n) AS n FROM n GROUP BY ALL)
 SELECT doc_id, source, round(rate, 6) AS rate, g.copy AS copy FROM m, range(0, 10000) AS g(copy) WHERE g.copy < m.n
 """
-
-
