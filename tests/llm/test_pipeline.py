@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 from test_decontaminate_shard import plain_report
-from test_simhash import plain_components, plain_fingerprint
+from test_nearcopies import plain_kept
 
 import corpus_pipeline
 from proseflow.llm import mix, shard, toxicity
@@ -32,8 +32,8 @@ def plain_stages(spark, d, columns, rows):
     model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), labels)
     kept = [r for r in rows if toxicity.score_text(r["text"], model, {})[0] < 0.3]
     yield kept
-    one = plain_components([r["doc_id"] for r in kept], [plain_fingerprint(r["text"]) for r in kept])
-    kept = [r for r in kept if one[r["doc_id"]] == r["doc_id"]]
+    stay = plain_kept([(r["doc_id"], r["text"]) for r in kept])
+    kept = [r for i, r in enumerate(kept) if i in stay]
     yield kept
     bad = {x[0] for x in plain_report([(r["doc_id"], r["text"]) for r in kept], items) if x[-1]}
     kept = [r for r in kept if r["doc_id"] not in bad]
