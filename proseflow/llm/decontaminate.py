@@ -6,7 +6,8 @@ each text's shingles are looked up among those rarest shingles; position and len
 to start and end; and the words there are compared one by one.
 
 Windows are broadcast in blocks of a checked size, one pass over the texts for each block; so the texts' words are
-never shuffled, and a passage that many texts share makes rows only where it occurs.
+never shuffled, and a passage that many texts share makes rows only where it occurs. The pass that counts shingles notes
+which texts hold them, so that only texts with a window's rarest shingle are looked at again.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, own_exchange, raw_words
+from .common import ascii_lower, checkpointed, own_exchange, raw_words, spare
 
 #: Words of a shingle; items with fewer words have shingles of all their words.
 SHINGLE = 3
 #: Bytes of windows that are broadcast at once, as estimated from their words and item lists.
 BLOCK_BYTES = 24 << 20
+#: Texts whose keys are broadcast to pick them out for the second look; beyond it all texts are looked at again.
+MOST_KEYS = 2_000_000
 
 
 def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -52,21 +55,24 @@ def _blocks(wins: DataFrame) -> int:
     return 1 + int((wins.agg(F.sum(row)).first()[0] or 0) // BLOCK_BYTES)
 
 
-def anchored(docs: DataFrame, wins: DataFrame, blocks: int, sizes: list[int]) -> DataFrame:
-    """``win, items, k, off, h`` per window: its rarest shingle over all documents, and how many words in it stands.
-
-    Ties go to the shingle that comes first.
-    """
-    parts = wins.select("win", "items", "k", F.posexplode("hs").alias("off", "h"))
+def _held(docs: DataFrame, parts: DataFrame, blocks: int, sizes: list[int]) -> DataFrame:
+    """``h, k, key, n``: how often a text holds a shingle of any window."""
     lookup = parts.select("h", "k").distinct()
     counted = []
     for k in sizes:
         for block in range(blocks):
             these = lookup.where((F.col("k") == k) & (F.pmod(F.col("h"), F.lit(blocks)) == block)).select("h")
-            counted.append(_shingles(docs, k).select("h").join(F.broadcast(these), "h").groupBy("h").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)))
-    counts = reduce(DataFrame.unionByName, counted)
-    rare = parts.join(counts, ["h", "k"], "left").groupBy("win").agg(F.min_by(F.struct("items", "k", "off", "h"), F.struct(F.coalesce("n", F.lit(0)), F.col("off"))).alias("x"))
-    return checkpointed(rare.select("win", "x.*"))
+            counted.append(_shingles(docs, k).select("key", "h").join(F.broadcast(these), "h").groupBy("h", "key").agg(F.count("*").alias("n")).withColumn("k", F.lit(k)))
+    return reduce(DataFrame.unionByName, counted)
+
+
+def anchored(parts: DataFrame, held: DataFrame) -> DataFrame:
+    """``win, items, k, off, h`` per window: its rarest shingle over all documents, and how many words in it stands.
+
+    Ties go to the shingle that comes first.
+    """
+    counts = held.groupBy("h", "k").agg(F.sum("n").alias("n"))
+    return parts.join(counts, ["h", "k"], "left").groupBy("win").agg(F.min_by(F.struct("items", "k", "off", "h"), F.struct(F.coalesce("n", F.lit(0).cast("long")), F.col("off"))).alias("x")).select("win", "x.*")
 
 
 def _found(docs: DataFrame, anchors: DataFrame, blocks: int, sizes: list[int]) -> DataFrame:
@@ -86,7 +92,8 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
     """``key, n_hit, n_items, items`` per distinct (id, text) that holds a window of an item; none where none is held.
 
     key is a hash of id and text. Null texts have no words. Items with a null id count as an item named by the empty
-    string, items without words are none, and repeated items count once. An empty item table gives an empty result.
+    string, items without words are none, and repeated items count once. An empty item table gives an empty result. Very
+    long texts are read whole. Of equally rare shingles the first of the window is taken, which changes no result.
     """
     thin = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("key"), raw_words(F.col(text_col)).alias("words"))
     wins = checkpointed(windows(items, size, item_id, item_text))
@@ -94,7 +101,13 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
     if not sizes:
         return docs.sparkSession.createDataFrame([], "key long, n_hit long, n_items long, items array<string>")
     blocks = _blocks(wins)
-    found = _found(thin, anchored(thin, wins, blocks, sizes), blocks, sizes)
+    parts = wins.select("win", "items", "k", F.posexplode("hs").alias("off", "h"))
+    held = checkpointed(_held(thin, parts, blocks, sizes))
+    anchors = checkpointed(anchored(parts, held))
+    # The same text may stand under several anchors; what is counted is what would be broadcast.
+    keys = held.join(anchors.select("h", "k").distinct(), ["h", "k"], "left_semi").select("key").distinct()
+    again = thin.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= MOST_KEYS else thin
+    found = _found(again, anchors, blocks, sizes)
     # Repeated rows find the same places: the set keeps each once, on either side of the shuffle.
     places = found.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("at"), F.collect_set("items").alias("sets"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))
@@ -114,8 +127,9 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of docs that hold no window of any item, with all their columns."""
-    found = hits(docs, items, size, id_col, text_col, **names).select(own_exchange(F.col("key")).alias("__key"))
-    return docs.withColumn("__key", F.xxhash64(F.col(id_col), F.xxhash64(text_col))).join(found, "__key", "left_anti").drop("__key")
+    (key,) = spare(docs, "key")
+    found = hits(docs, items, size, id_col, text_col, **names).select(own_exchange(F.col("key")).alias(key))
+    return docs.withColumn(key, F.xxhash64(F.col(id_col), F.xxhash64(text_col))).join(found, key, "left_anti").drop(key)
 
 
 #: The same rows from an equality of joined words at every place, without shingles or rarity.
