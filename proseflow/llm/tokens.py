@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import checkpointed, values
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -26,7 +26,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Code points that are encoded at once; a longer text is cut where encoding cannot cross.
 PIECE = 1 << 16
 #: Lengths of a block of the histogram whose suffix sums one task forms.
-BLOCK = 1 << 10
+BLOCK = 1 << 8
 _ENCODERS: dict = {}
 #: Encoding never joins a letter or digit with white space before it, so a text may be cut before that white space.
 _CUT = re.compile(r"(?<=[^\W_])(?= [^\W_])")
@@ -67,7 +67,11 @@ def length_of(text: str | None, enc) -> int:
 
 
 def lengths(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
-    """``n_tokens, n_docs``: the histogram. Null and empty texts have no tokens; each repeated row counts."""
+    """``n_tokens, n_docs``: the histogram, written once, so that no later use encodes again.
+
+    Null and empty texts have no tokens; very long ones are encoded in cuts that change nothing; each repeated row counts.
+    An empty table gives an empty histogram. Other columns of docs are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
@@ -78,7 +82,7 @@ def lengths(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text")
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["n_tokens", "n"])
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long, n long")
-    return counted.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    return checkpointed(counted.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")))
 
 
 def answers(histogram: DataFrame) -> DataFrame:
@@ -92,12 +96,11 @@ def answers(histogram: DataFrame) -> DataFrame:
     h = histogram.withColumns({"tokens": F.col("n_tokens") * F.col("n_docs"), "block": F.floor(F.col("n_tokens") / BLOCK)})
     later = W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, 0)
     sums = h.groupBy("block").agg(F.sum("n_docs").alias("bn"), F.sum("tokens").alias("bt"))
-    ends = sums.select("block", (F.sum("bn").over(later) - F.col("bn")).alias("after_n"), (F.sum("bt").over(later) - F.col("bt")).alias("after_t"),
-                       F.sum("bn").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_n"),
-                       F.sum("bt").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_t"))
+    ends = sums.select("block", (F.sum("bn").over(later) - F.col("bn")).alias("after_n"), (F.sum("bt").over(later) - F.col("bt")).alias("after_t"))
+    whole = sums.agg(F.sum("bn").alias("all_n"), F.sum("bt").alias("all_t"))  # one row
     inner = W.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(W.unboundedPreceding, 0)
     own = h.withColumns({"in_n": F.sum("n_docs").over(inner) - F.col("n_docs"), "in_t": F.sum("tokens").over(inner) - F.col("tokens")})
-    over = own.join(ends, "block").withColumns({"docs_over": F.col("in_n") + F.col("after_n"), "tokens_over": F.col("in_t") + F.col("after_t")})
+    over = own.join(ends, "block").crossJoin(F.broadcast(whole)).withColumns({"docs_over": F.col("in_n") + F.col("after_n"), "tokens_over": F.col("in_t") + F.col("after_t")})
     return over.select(
         "n_tokens", "n_docs", "docs_over", "tokens_over",
         (F.col("all_t") - F.col("tokens_over") + F.col("n_tokens") * F.col("docs_over")).alias("truncated_total"),
