@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from proseflow import schemas
 from proseflow.functions import names
 from proseflow.operators import quality
+from proseflow.operators.frames import checkpointed
 from proseflow.plans import catalog, features, ingest
 from proseflow.sources import feeds, pages, tables
 
@@ -53,7 +54,7 @@ def run_documents(spark, a) -> int:
     table = _known(spark, a.catalog, "documents")
     every = not (a.discovery_only or a.fetch_only or a.parse_only)
     if every or a.discovery_only:
-        table = ingest.discover_documents(table, feeds.read(spark, a.feeds), a.base_url, categories=tuple(a.categories))
+        table = checkpointed(ingest.discover_documents(table, feeds.read(spark, a.feeds), a.base_url, categories=tuple(a.categories)))
     if every or a.fetch_only:
         table = ingest.fetch_documents(table, pages.polite(a.get, a.delay), a.limit)
     if every or a.parse_only:
@@ -70,6 +71,7 @@ def run_speeches(spark, a) -> int:
         last = a.end_year or datetime.date.today().year
         urls = {y: names.listing_address(a.base_url, y) for y in range(a.start_year, last + 1)}
         table = ingest.discover_speeches(table, pages.listing_pages(spark, urls, pages.polite(a.get, a.delay)), a.base_url)
+        table = checkpointed(table)  # entries found today are queued and updated below
     if every or a.fetch_only:
         table = ingest.fetch_speeches(table, pages.polite(a.get, a.delay), a.limit)
     _save(table, a.out, "speeches")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,8 +17,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """existing, and of new the first row of each key that existing lacks."""
-    fresh = first_per_key(new, keys, order).join(existing.select(*keys), list(keys), "left_anti")
+    """existing, and of new the first row of each key that existing lacks.
+
+    As under a unique constraint, a key with a null equals no other: all such rows are inserted.
+    """
+    whole = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
+    fresh = first_per_key(new.where(whole), keys, order).join(existing.select(*keys), list(keys), "left_anti").unionByName(new.where(~whole))
     return existing.unionByName(fresh.select(existing.columns) if set(existing.columns) <= set(fresh.columns) else fresh, allowMissingColumns=True)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from proseflow.functions.names import date_of_link, event_parts
 from proseflow.functions.text import clean_document, clean_speech, old_layout_body, trim_at
 from proseflow.operators import merge, queues
+from proseflow.operators.frames import checkpointed
 from proseflow.sources import feeds, pages
 
 
@@ -32,7 +33,8 @@ def discover_documents(documents: DataFrame, feed_frame: DataFrame, base_url: st
 
 
 def fetch_documents(documents: DataFrame, get: Callable[[str], str | None], limit: int | None = None) -> DataFrame:
-    return queues.apply_fetch(documents, pages.fetched(queues.fetch_queue(documents, limit), get))
+    """Pages of waiting documents, in one task so that pauses hold for the site; each is got once, as they are written first."""
+    return queues.apply_fetch(documents, checkpointed(pages.fetched(queues.fetch_queue(documents, limit).coalesce(1), get)))
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
 def discover_speeches(speeches: DataFrame, listing_pages: DataFrame, base_url: str, today: Column | None = None) -> DataFrame:
     """The catalog with the entries of listing pages (year, html) whose link is new."""
-    rows = pages.listings(listing_pages)
+    rows = pages.listings(checkpointed(listing_pages))
     link = F.concat(F.lit(base_url), F.col("href"))
     told = F.coalesce(F.when(F.col("text").isNotNull(), event_parts(F.col("text"))), F.when(F.col("text").isNull(), F.struct("title", "speaker", "event")))
     date, error = date_of_link(link, F.col("year"))
@@ -57,9 +59,9 @@ def discover_speeches(speeches: DataFrame, listing_pages: DataFrame, base_url: s
 
 
 def fetch_speeches(speeches: DataFrame, get: Callable[[str], str | None], limit: int | None = None, recent_from: int = 2006) -> DataFrame:
-    """Texts of waiting speeches; the layout follows the year."""
+    """Texts of waiting speeches, each page got once and in one task; the layout follows the year."""
     waiting = queues.speech_queue(speeches, limit)
-    got = pages.fetched(waiting, get, "link").join(waiting.select("id", F.year("speech_date").alias("year")), "id")
+    got = checkpointed(pages.fetched(waiting.coalesce(1), get, "link")).join(waiting.select("id", F.year("speech_date").alias("year")), "id")
     new = trim_at(pages.as_column(pages.speech_text)(F.col("raw_html")))
     old = old_layout_body(pages.as_column(pages.page_text)(F.col("raw_html")))
     texts = got.where(F.col("year") >= recent_from).select("id", new.alias("t")).unionByName(got.where(F.col("year") < recent_from).select("id", old.alias("t")))

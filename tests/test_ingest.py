@@ -64,6 +64,8 @@ def test_insert_or_ignore_and_updates(spark):
     old = spark.createDataFrame([(1, "a")], "id int, v string")
     new = spark.createDataFrame([(1, "b", 0), (2, "d", 2), (2, "c", 1)], "id int, v string, arrival int")
     assert sorted(tuple(r) for r in merge.insert_or_ignore(old, new, ["id"], ["arrival"]).collect()) == [(1, "a"), (2, "c")]
+    nulls = spark.createDataFrame([(None, "x", 0), (None, "x", 0)], "id int, v string, arrival int")
+    assert merge.insert_or_ignore(old, nulls, ["id"], ["arrival"]).count() == 3
     up = spark.createDataFrame([(1, None), (3, "x")], "id int, v string")
     assert [tuple(r) for r in merge.update_by_key(old, up, ["id"], ["v"]).collect()] == [(1, None)]
     assert [tuple(r) for r in merge.update_by_key(old, up, ["id"], ["v"], F.col("v").isNotNull()).collect()] == [(1, "a")]
@@ -127,6 +129,18 @@ def test_command_line_stages(spark, tmp_path):
     assert spark.read.parquet(f"{home}/c/documents.parquet").where("parsed").count() == 2
     assert cli.main(["speeches", "--catalog", home, "--out", f"{home}/a", "--start-year", "2010", "--end-year", "2024", *site], web.get) == 0
     assert [r.speech_text for r in spark.read.parquet(f"{home}/a/speeches.parquet").collect()] == ["Words."]
+    # Every page is got once in a run of all stages; calls are noted in a file, as they are made by workers.
+    log = tmp_path / "calls"
+
+    def noted(url, log=str(log), web=dict(web)):
+        with open(log, "a", encoding="utf-8") as f:
+            f.write(url + "\n")
+        return web.get(url)
+
+    assert cli.main(["speeches", "--catalog", home, "--out", f"{home}/s", "--start-year", "2023", "--end-year", "2024", *site], noted) == 0
+    assert cli.main(["documents", "--catalog", home, "--out", f"{home}/d", "--feeds", f"{home}/feed.json", *site], noted) == 0
+    calls = log.read_text(encoding="utf-8").split()
+    assert len(calls) == len(set(calls)) >= 5 and f"{BASE}/s/20240131a.htm" in calls
     assert pages.http_get("http://127.0.0.1:9/none") is None and pages.http_get("no address") is None
 
 
