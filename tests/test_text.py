@@ -15,61 +15,68 @@ def column(spark, values, f):
     return [r.x for r in df.select("i", f(F.col("t")).alias("x")).orderBy("i").collect()]
 
 
-def plain_normalize(t):
-    t = t.replace("\r\n", "\n").replace("\r", "\n")
-    t = re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", t))
-    return "\n".join(line.strip() for line in t.splitlines()).strip()
-
-
-def plain_sentences(t):
-    out = []
-    for s in re.split(r"(?<=[.!?])\s+", t):
-        s = s.strip()
-        word = next((w for w in CONTRASTIVES if re.search(rf"\b{w}\b", s, re.I)), None)
-        out += [p.strip() for p in (re.split(rf"\b{word}\b", s, maxsplit=1, flags=re.I) if word else [s])]
-    return [p for p in out if p]
+#: Worked out by hand: text and what is left of it.
+NORMAL = [
+    ("", ""), ("  a  ", "a"), ("a\n\n\n\nb", "a\n\nb"), ("a \t b", "a b"), ("a\r\nb", "a\nb"), ("a\rb", "a\nb"), ("Case Kept", "Case Kept"), ("a\n \n \nb", "a\n\n\nb"),
+    ("a\t\nb", "a\nb"), ("\u3000x\xa0\n\u2003y", "x\ny"), ("a\x0bb", "a\nb"), ("a\u2028b\x85c", "a\nb\nc"), ("a\tb", "a\tb"), ("\x1fa\x1c", "a"), ("a\u200b", "a\u200b"),
+]
 
 
 def test_normalize(spark):
+    assert column(spark, [t for t, _ in NORMAL], text.normalize) == [n for _, n in NORMAL]
     rnd = random.Random(1)
     parts = ["a", "Bé", " ", "  ", "\t", "\n", "\r\n", "\r", "\n\n\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\u2028", "\u3000", "\xa0", "\u200b", "."]
-    values = ["", "  a  ", "a\n\n\n\nb", "a \t b", "a\r\nb", "Case Kept", "a\n \n \nb", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(25))) for _ in range(2000))]
-    assert column(spark, values, text.normalize) == [plain_normalize(v) for v in values]
+    values = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(25))) for _ in range(2000)]
+    for before, after in zip(values, column(spark, values, text.normalize), strict=True):
+        assert after == after.strip() and all(x == x.strip() for x in after.split("\n")) and "\r" not in after and "  " not in after
+        assert "".join(after.split()) == "".join(before.split())  # only white space went
+
+
+#: Worked out by hand: text and its sentences.
+CUT = [
+    ("", []), ("One. Two.", ["One.", "Two."]), ("Prices rose but jobs fell.", ["Prices rose", "jobs fell."]), ("However, easing.", [", easing."]), ("No end", ["No end"]),
+    ("While costs fell, output grew but jobs did not.", ["While costs fell, output grew", "jobs did not."]), ("a but b but c.", ["a", "b but c."]), ("butter abuts.", ["butter abuts."]),
+    ("1.5 is more.  Is it?\nYes! ", ["1.5 is more.", "Is it?", "Yes!"]), ("ALTHOUGH x. BUT", ["x."]), ("a.\u2003b", ["a.", "b"]), ("x while y although z", ["x while y", "z"]),
+]
 
 
 def test_sentences(spark):
+    assert column(spark, [t for t, _ in CUT], text.split_sentences) == [c for _, c in CUT]
     rnd = random.Random(2)
     parts = ["But", "but", "however", "ALTHOUGH", "while", "WHILE", "butter", "abut", "x", ".", "!", "? ", " ", "  ", "\n", ",", "é", "1.5", "\u2003", "\x1f"]
-    values = ["", "One. Two.", "Prices rose but jobs fell.", "However, easing.", "No end", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(20))) for _ in range(2000))]
-    assert column(spark, values, text.split_sentences) == [plain_sentences(v) for v in values]
-    assert column(spark, ["While costs fell, output grew but jobs did not."], text.split_sentences) == [["While costs fell, output grew", "jobs did not."]]
-
-
-def plain_chunks(t, most=400, advance=100):
-    ps = [p.strip() for p in t.split("\n\n") if p.strip()]
-    size = [max(1, len(p) // 4) for p in ps]
-    out, start = [], 0
-    while start < len(ps):
-        end, total = start, 0
-        while end < len(ps) and (end == start or total + size[end] <= most):
-            total += size[end]
-            end += 1
-        out.append((len(out), "\n\n".join(ps[start:end]), total))
-        gone = 0
-        while start < end and gone < advance:
-            gone += size[start]
-            start += 1
-    return out
+    values = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(20))) for _ in range(2000)]
+    for before, got in zip(values, column(spark, values, text.split_sentences), strict=True):
+        assert all(p and p == p.strip() for p in got) and not any(re.search(r"[.!?]\s+\S", p) for p in got)
+        at, left = 0, []  # the parts stand in the text in order; between them is white space and at most one contrastive word
+        for p in got:
+            found = before.index(p, at)
+            left.append(before[at:found])
+            at = found + len(p)
+        assert all("".join(x.split()).lower() in ("", *CONTRASTIVES) or len("".join(x.split())) <= 2 * max(map(len, CONTRASTIVES)) for x in [*left, before[at:]])
+
+
+#: Worked out by hand: tokens of paragraphs, and first and last paragraph of each chunk with its tokens.
+CHUNKS = [
+    ([], []), ([50] * 4, [(0, 3, 200), (2, 3, 100)]), ([900], [(0, 0, 900)]), ([30, 399, 10], [(0, 0, 30), (1, 1, 399), (2, 2, 10)]), ([100, 300, 1], [(0, 1, 400), (1, 2, 301), (2, 2, 1)]),
+    ([99, 1, 400], [(0, 1, 100), (2, 2, 400)]), ([400, 400], [(0, 0, 400), (1, 1, 400)]), ([60, 60, 60], [(0, 2, 180), (2, 2, 60)]),
+]
 
 
 def test_chunks(spark):
+    sized = lambda sizes: "\n\n".join(f"{i:x<{4 * s}}" for i, s in enumerate(sizes))
+    want = [[(k, "\n\n".join(sized(sizes).split("\n\n")[a : b + 1]), n) for k, (a, b, n) in enumerate(chunks)] for sizes, chunks in CHUNKS]
+    assert [[tuple(c) for c in g] for g in column(spark, [sized(sizes) for sizes, _ in CHUNKS], text.chunks)] == want
+    assert column(spark, [None, " \n\n "], text.chunks) == [[], []]
     rnd = random.Random(3)
-    sized = lambda sizes: "\n\n".join("x" * (4 * s) for s in sizes)
-    values = ["", " \n\n ", sized([50] * 4), sized([900]), sized([30, 399, 10]), *(sized([rnd.choice([1, 20, 60, 99, 100, 101, 300, 400, 500]) for _ in range(rnd.randrange(15))]) for _ in range(500))]
-    got = column(spark, values, text.chunks)
-    assert [[tuple(c) for c in g] for g in got] == [plain_chunks(v) for v in values]
-    assert [len(g) for g in got[:5]] == [0, 0, 2, 1, 3]
-    assert column(spark, [None], text.chunks) == [[]]
+    many = [[rnd.choice([1, 20, 60, 99, 100, 101, 300, 400, 500]) for _ in range(rnd.randrange(1, 15))] for _ in range(500)]
+    for sizes, got in zip(many, column(spark, [sized(s) for s in many], text.chunks), strict=True):
+        spans = [(int(re.match(r"\d+", c.chunk_text)[0]), c.chunk_text.count("\n\n") + 1, c.token_est) for c in got]
+        assert [c.chunk_index for c in got] == list(range(len(got))) and spans[0][0] == 0 and sum(spans[-1][:2]) == len(sizes)
+        for a, n, tokens in spans:
+            assert tokens == sum(sizes[a : a + n]) and (tokens <= 400 or n == 1) and (a + n == len(sizes) or tokens + sizes[a + n] > 400)
+        for (a, n, _), (b, *_) in zip(spans, spans[1:]):
+            gone = sum(sizes[a:b])
+            assert a < b <= a + n and (gone >= 100 or b == a + n) and gone - sizes[b - 1] < 100
 
 
 def test_trim_and_bodies(spark):
