@@ -31,7 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Words of a shingle of copies; segments of their signature and places of a segment; hashes that meet all functions at once.
 WORDS, SEGMENTS, WIDTH, STEP = 5, 8, 5, 2048
 #: Sets that one task compares with another, and sets that are compared with as many others at once, on average.
-PART, MOST = 4096, 256
+PART, MOST = 512, 256
 
 #: Hashes of a text whose bits are counted at once, so that a long text needs no more memory than a short one.
 BLOCK = 1 << 14
@@ -337,16 +337,20 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest_links(met: DataFrame, apart: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links of bucket members that are apart from their hub with all members of the bucket, in tiles."""
-    rest = met.join(apart, ["hub", "sh"], "left_semi")
-    per = rest.groupBy("key").agg(F.count("*").alias("r"), F.first("n").alias("n"), F.first("own").alias("own"))
-    one = per.groupBy("n", "own").agg(F.min("key").alias("key"), F.first("r").alias("r"))  # of equal buckets one
-    one = checkpointed(one.select("key", F.ceil(F.col("r") / MOST).cast("int").alias("ti"), F.ceil(F.col("n") / MOST).cast("int").alias("tj")))
+    """Links of bucket members that are apart from their hub with all members of their buckets, in tiles.
+
+    Buckets of one hub are one group, so that a member comes once for every hub and tile of those to be compared, not once
+    for every bucket.
+    """
+    wide = met.join(met.join(apart, ["hub", "sh"], "left_semi").select("key").distinct(), "key", "left_semi").select("hub", "sh").distinct()
+    every = checkpointed(wide.join(apart.withColumn("todo", F.lit(1)), ["hub", "sh"], "left").select("hub", "sh", F.coalesce("todo", F.lit(0)).alias("todo")))
+    sizes = every.groupBy("hub").agg(F.ceil(F.sum("todo") / MOST).cast("int").alias("ti"), F.ceil(F.count("*") / MOST).cast("int").alias("tj")).select(own_exchange(F.col("hub")).alias("hub"), "ti", "tj")
     tile = lambda t: F.pmod(F.xxhash64("sh"), F.col(t)).cast("int")
-    every = lambda t: F.explode(F.sequence(F.lit(0), F.col(t) - 1))
-    left = rest.select("key", "sh").join(one, "key").select("key", tile("ti").alias("i"), every("tj").alias("j"), F.lit(0).alias("side"), "sh")
-    right = met.select("key", "sh").join(one, "key").select("key", every("ti").alias("i"), tile("tj").alias("j"), F.lit(1).alias("side"), "sh")
-    dealt = left.unionAll(right).join(texts, "sh").select("key", "i", "j", "side", "sh", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    all_of = lambda t: F.sequence(F.lit(0), F.col(t) - 1)
+    left = F.transform(all_of("tj"), lambda j: F.struct(tile("ti").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    right = F.transform(all_of("ti"), lambda i: F.struct(i.alias("i"), tile("tj").alias("j"), F.lit(1).alias("side")))
+    placed = every.join(sizes, "hub").select("hub", "sh", F.explode(F.when(F.col("todo") == 1, F.concat(left, right)).otherwise(right)).alias("x")).select("hub", "x.*", "sh")
+    dealt = placed.join(texts, "sh").select("hub", "i", "j", "side", "sh", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "side")
     return dealt.mapInArrow(_between_tiles(percent), "a long, b long")
 
 
@@ -364,8 +368,8 @@ def near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     signed = checkpointed(thin.mapInArrow(_signed, "doc_id long, th long, sh long, keys array<long>"))
     classes = signed.groupBy("sh").agg(F.min(F.struct("th", "doc_id")).alias("row"), F.first("keys").alias("keys"))
     keys = classes.select(F.explode("keys").alias("key"), "sh")
-    buckets = keys.groupBy("key").agg(F.min("sh").alias("hub"), F.max("sh").alias("last"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("sh")).alias("own")).where("hub <> last")
-    met = checkpointed(keys.join(buckets.select(own_exchange(F.col("key")).alias("key"), "hub", "n", "own"), "key").select("key", "hub", "sh", "n", "own"))
+    buckets = keys.groupBy("key").agg(F.min("sh").alias("hub"), F.max("sh").alias("last")).where("hub <> last")
+    met = checkpointed(keys.join(buckets.select(own_exchange(F.col("key")).alias("key"), "hub"), "key").select("key", "hub", "sh"))
     pairs = checkpointed(met.where("sh <> hub").select("hub", "sh").distinct())
 
     rows = classes.select("sh", F.col("row.th").alias("own_th"), F.col("row.doc_id").alias("own_id")).join(pairs.select("sh").unionAll(pairs.select(F.col("hub").alias("sh"))).distinct(), "sh")
@@ -379,10 +383,14 @@ def near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     links_ = checkpointed(dealt.mapInArrow(_with_first(percent), "a long, b long"))
     roots = components(links_, "a", "b")
     apart = checkpointed(_apart(pairs, roots))
-    if not apart.isEmpty():
-        roots = components(links_.unionAll(_rest_links(met, apart, texts, percent)), "a", "b")
     there = roots.select(own_exchange(F.col("node")).alias("sh"), "root")
-    return signed.join(there, "sh", "left").select("doc_id", "th", F.coalesce("root", "sh").alias("root"))
+    found = signed.join(there, "sh", "left").select("doc_id", "th", F.coalesce("root", "sh").alias("root"))
+    if apart.isEmpty():
+        return found
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    more = _rest_links(met, apart, texts, percent).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(more.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "a", "b")
+    return found.join(over.select(own_exchange(F.col("node")).alias("was"), F.col("root").alias("now")), F.col("root") == F.col("was"), "left").select("doc_id", "th", F.coalesce("now", "root").alias("root"))
 
 
 def without_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
