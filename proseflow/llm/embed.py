@@ -1,10 +1,11 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass every vector gets a key of concatenated random hashes (signs of projections), vectors are ordered by it,
-and each is compared with a bounded window of those that follow. Verified pairs are united across passes. The window
-bounds the work of a pass, not the partners of a vector: once components are known, the vectors of each component are
-compared with all others of it, in blocks, which counts the links that no window held too. Equal vectors are one class
-with a count from the start.
+and each is compared with a bounded window of those that follow. Verified pairs are united across passes. Passes come in
+rounds, each with twice the window of the one before, until a round joins nothing more that was apart: how many are needed
+follows from the vectors, rising with their number and where many lie close together. The window bounds the work of a
+pass, not the partners of a vector: once components are known, the vectors of each component are compared with all others
+of it, in blocks, which counts the links that no window held too. Equal vectors are one class with a count from the start.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _by_length(batch: pa.RecordBatch, vec: int):
         yield int(n), batch.filter(pa.array(size == n))
 
 
-def _keys(passes: int, seed: int):
+def _keys(passes: range, seed: int):
     planes: dict = {}
 
     def run(batches):
@@ -50,7 +51,7 @@ def _keys(passes: int, seed: int):
                 continue
             for dim, part in _by_length(batch, 1):
                 x = _unit(part.column(1))
-                for p in range(passes):
+                for p in passes:
                     if (dim, p) not in planes:
                         planes[dim, p] = np.random.default_rng([seed, dim, p]).standard_normal((dim, 63))
                     bits = (x @ planes[dim, p]) > 0
@@ -158,7 +159,22 @@ def _tile_counts(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = 16, window: int = 64, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _roots(classes: DataFrame, threshold: float, passes: int, window: int, quiet: float, seed: int) -> DataFrame:
+    """``node, root``: components of the links that rounds of passes find; only a count of each round reaches the driver."""
+    spark, vector = classes.sparkSession, dict(classes.dtypes)["embedding"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    roots, joined, rounds = None, 0, 0
+    while True:
+        keyed = classes.select("cls", "embedding").mapInArrow(_keys(range(rounds * passes, (rounds + 1) * passes), seed), f"dim int, pass int, key long, cls long, embedding {vector}")
+        dealt = keyed.repartitionByRange(n, "dim", "pass", "key", "cls").sortWithinPartitions("dim", "pass", "key", "cls")
+        links = dealt.mapInArrow(_window_links(threshold, window << rounds), "a long, b long")
+        roots = components(links if roots is None else roots.unionAll(links).toDF("a", "b"), "a", "b")
+        was, joined, rounds = joined, roots.count(), rounds + 1
+        if rounds > 1 and joined - was <= quiet * joined:
+            return roots
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = 8, window: int = 64, quiet: float = 1e-4, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row of vectors.
 
     Vectors link at a cosine, in double precision, of threshold at least; those that are null, empty, zero, or hold
@@ -168,7 +184,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = 1
     table. Other columns are not read.
 
     Passes miss a pair that never falls into one window: with b the bits that tell a window's vectors apart, one pass
-    holds a pair at angle t with probability of (1 - t / pi) ** b at least.
+    holds a pair at angle t with probability of (1 - t / pi) ** b at least, and partition borders cut windows. What is
+    missed is measured: after the first two, rounds of passes go on until one joins no more than the share quiet of all
+    classes joined so far. With under 1 / quiet of them that is a round that joins nothing.
     """
     vec = F.col(vec_col).cast("array<double>")
     sound = F.col(vec_col).isNotNull() & (F.size(vec) > 0) & F.coalesce(F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(vec, lambda v: v != 0), F.lit(False))
@@ -176,10 +194,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, passes: int = 1
     rows = checkpointed(rows)
     # Classes of equal vectors, named by the hash of their components.
     classes = checkpointed(rows.where("embedding IS NOT NULL").groupBy("h", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumnRenamed("h", "cls"))
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = classes.select("cls", "embedding").mapInArrow(_keys(passes, seed), "dim int, pass int, key long, cls long, embedding " + dict(rows.dtypes)["embedding"])
-    dealt = keyed.repartitionByRange(n, "dim", "pass", "key", "cls").sortWithinPartitions("dim", "pass", "key", "cls")
-    roots = components(dealt.mapInArrow(_window_links(threshold, window), "a long, b long").distinct(), "a", "b")
+    roots = _roots(classes, threshold, passes, window, quiet, seed)
     own = roots.select(F.col("root").alias("node"), "root").distinct().unionAll(roots)
     members = checkpointed(classes.join(own, classes.cls == own.node).select("root", "cls", "least", "n", "embedding"))
 

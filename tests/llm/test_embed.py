@@ -74,3 +74,21 @@ def test_unsound_equal_and_repeated_rows(spark):
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in run(spark, rows))
     assert got == plain(rows)
     assert run(spark, [(4, None, 0, "c")])[0].kept and run(spark, []) == []
+
+
+def test_links_in_a_dense_cone_are_found_by_more_rounds(spark):
+    rnd = np.random.default_rng(3)
+    mean = rnd.standard_normal(32)
+    mean /= np.linalg.norm(mean)
+    apart = rnd.standard_normal((2400, 32))
+    apart /= np.linalg.norm(apart, axis=1, keepdims=True)
+    near = rnd.standard_normal((600, 32))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    x = np.vstack([2 * mean + apart, 2 * mean + apart[:600] + 0.5 * near]).astype(np.float32)  # means of 0.8, pairs above 0.95
+    rows = [(i, [float(v) for v in e], 0, "c") for i, e in enumerate(x)]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = np.argwhere(np.triu(unit @ unit.T >= 0.95, 1))
+    assert len(links) > 500
+    got = {r.vec_id: r for r in run(spark, rows, window=8)}
+    assert sum(r.n_links for r in got.values()) == 2 * len(links)
+    assert all(got[a].component_id == got[b].component_id for a, b in links)
