@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from proseflow.operators import novelty, sentiment
+from proseflow.operators import novelty, retrieval, sentiment
 from proseflow.plans import features
 
 TONE = ["hawkish_score", "n_hawkish", "n_dovish", "n_neutral", "n_target_sentences"]
@@ -122,3 +122,13 @@ def test_dedup_keeps_the_earlier_of_equal_lengths(spark):
     assert {r.doc_id for r in novelty.dedup_longest(df, ["date"], ["doc_id"]).collect()} == {1, 4}
 
 
+
+
+def test_nearest_vectors_in_blocks_of_queries(spark, monkeypatch):
+    rows = [(i, [math.cos(i / 7), math.sin(i / 7)]) for i in range(40)] + [(40, [0.0, 0.0]), (41, None), (42, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    once = sorted(map(tuple, retrieval.top_k(v, v, k=2).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 100)
+    assert sorted(map(tuple, retrieval.top_k(v, v, k=2).collect())) == once
+    assert {i for q, i, _, _ in once if q == 10} == {9, 11}
+    assert {q for q, *_ in once} == set(range(40))
